@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgermill.llm import components, mixture, splitter, survivors, tokenizers
+from ledgermill.llm import components, mixture, pages, pii, splitter, survivors, tokenizers
 from ledgermill.session import table
 
 
@@ -40,8 +40,26 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.reached_shares(*mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.found_noise(table(spark, sf_dir, "parsed_pages"))
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.paragraphs(table(spark, sf_dir, "parsed_pages"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_items(table(spark, sf_dir, "documents"))
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", pii.redact(F.col("text")).alias("text"))
+
+
 QUERIES = {
+    "p2_found": p2_found, "p2_paragraphs": p2_paragraphs,
     "p3_found": p3_found, "p3_survivors": p3_survivors, "p6_found": p6_found, "p7_found": p7_found, "p7_pieces": p7_pieces,
     "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_redacted": p10_redacted,
 }
 ORACLE_SQL: dict[str, str] = {}
