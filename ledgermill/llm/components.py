@@ -10,7 +10,8 @@ from ledgermill.session import cut_lineage
 #: A vertex with more edges than MAX_DEGREE (or 1/HUB_PARTS of all edge ends, if that is more) is split, so there are
 #: at most HUB_PARTS hubs to broadcast.
 MAX_DEGREE, HUB_PARTS = 20_000, 50_000
-BETA, ROUNDS = 0.25, 6
+#: A small rate makes one start in a component win by more than its diameter, so most components need one level.
+BETA, ROUNDS = 0.02, 5
 
 
 def _shift(vertex: Column, seed: int) -> Column:
