@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,9 +36,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there, so a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared checkpoint folder and read it from there, so a lost executor costs no recomputation.
+
+    A Parquet table rather than DataFrame.checkpoint(): the latter carries statistics and constraints along, which grow
+    with every round of an iteration until planning takes longer than running. The tables go when the process ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/ledgermill-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove_written, spark)
+    _written.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def _remove_written(spark: SparkSession) -> None:
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _written:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+    except Exception:  # the session may be gone already; its folder is then the cluster's to clean
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
