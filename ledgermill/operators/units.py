@@ -35,9 +35,10 @@ def _stated(raw: pd.Series, quote: pd.Series) -> pd.DataFrame:
 def fit_scales(known: DataFrame, unknown: DataFrame) -> list[dict]:
     """Weights of FACTORS among amounts without a unit, with mean and deviation of log10 rupees: [{factor, weight, mu, sigma}].
 
-    known has rupees, unknown has value. A mixture of normals in log10, whose components all have the mean and deviation
-    of the known amounts, moved by -log10(factor), is fitted by expectation maximisation on histograms of all amounts.
-    Nothing known: mean 7 and deviation 2. Nothing unknown: equal weights.
+    known has rupees and factor, unknown has value. A mixture of normals in log10, whose components all have the mean and
+    deviation of the known amounts, moved by -log10(factor), is fitted by expectation maximisation on histograms of all
+    amounts. The shares of the stated factors count as much as the data, so that wide deviations do not drive all weight
+    to one factor. Nothing known: mean 7, deviation 2 and equal shares.
     """
     def hist(df: DataFrame, col: str) -> tuple[np.ndarray, np.ndarray]:
         # a histogram of at most (24 + 6) / BIN bins
@@ -48,14 +49,17 @@ def fit_scales(known: DataFrame, unknown: DataFrame) -> list[dict]:
     x, n = hist(known, "rupees")
     mu = float((x * n).sum() / n.sum()) if len(x) else 7.0
     sigma = max(0.1, math.sqrt(float((n * (x - mu) ** 2).sum() / n.sum()))) if len(x) else 2.0
-    offsets, w = np.log10(FACTORS), np.full(len(FACTORS), 1 / len(FACTORS))
+    stated = {r["factor"]: r["count"] for r in known.where(F.col("factor").isin(*FACTORS)).groupBy("factor").count().collect()}
+    prior = np.array([stated.get(f, 0) + 1.0 for f in FACTORS])
+    prior /= prior.sum()
+    offsets, w = np.log10(FACTORS), prior
     x, n = hist(unknown, "value")
     for _ in range(200):
         if not len(x):
             break
         like = w * np.exp(-0.5 * ((x[:, None] + offsets - mu) / sigma) ** 2) + 1e-300
         post = like / like.sum(axis=1, keepdims=True)
-        new = (n[:, None] * post).sum(axis=0) / n.sum()
+        new = ((n[:, None] * post).sum(axis=0) / n.sum() + prior) / 2
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -94,7 +98,7 @@ def _to_rupees(parsed: DataFrame, rates: DataFrame) -> DataFrame:
     df = parsed.withColumn("currency", F.when(F.col("factor").isNotNull(), F.coalesce("currency", F.lit("INR"))).otherwise(F.col("currency"))).withColumn("__fy", year)
     df = df.join(r, ["currency", "__fy"], "left").drop("__fy")
     df = df.withColumn("rate", F.when(F.coalesce("currency", F.lit("INR")) == "INR", F.lit(1.0)).otherwise(F.col("rate")))
-    known = df.where("factor is not null").select((F.abs(F.col("value") * F.col("factor") * F.col("rate"))).alias("rupees"))
+    known = df.where("factor is not null").select("factor", F.abs(F.col("value") * F.col("factor") * F.col("rate")).alias("rupees"))
     unknown = df.where("factor is null and value is not null").select(F.abs("value").alias("value"))
     best = F.array_max(posteriors(F.col("value"), fit_scales(known, unknown)))
     guess = F.col("factor").isNull() & F.col("value").isNotNull() & (F.col("value") != 0)
