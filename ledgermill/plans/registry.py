@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgermill.plans import problems
+from ledgermill.plans import problems, reference
 
-QUERIES = {**problems.QUERIES}
-ORACLE_SQL = {**problems.ORACLE_SQL}
+QUERIES = {**problems.QUERIES, **reference.QUERIES}
+ORACLE_SQL = {**problems.ORACLE_SQL, **reference.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p4_found(spark, sf_dir)
+    """People on the boards of both of the two companies with most directors."""
+    return reference.g4_shared_directors(spark, sf_dir)
