@@ -81,18 +81,17 @@ def connected_groups(edges: DataFrame, max_levels: int = 60) -> DataFrame:
         n_edges = current.count()
         if n_edges == 0:
             break
-        clusters = _decompose(_split_hubs(current, n_edges), level)
+        spread = _split_hubs(current, n_edges)
+        clusters = _decompose(spread, level)
         if assigned is None:
             assigned = clusters.withColumnRenamed("v", "id").withColumnRenamed("c", "root")
         else:
             step = clusters.withColumnRenamed("v", "root").withColumnRenamed("c", "next")
             assigned = cut_lineage(skew_join_unique(assigned, step, "root", "left").select("id", F.coalesce("next", "root").alias("root")))
-        names = clusters.withColumnRenamed("c", "to")
-        ahead = skew_join_unique(current, names.withColumnRenamed("v", "src"), "src").withColumnRenamed("to", "a")
-        ahead = skew_join_unique(ahead, names.withColumnRenamed("v", "dst"), "dst").withColumnRenamed("to", "b")
+        # no vertex of spread has more than a bounded number of edges, so plain joins stay balanced
+        ahead = spread.join(clusters.select(F.col("v").alias("src"), F.col("c").alias("a")), "src").join(clusters.select(F.col("v").alias("dst"), F.col("c").alias("b")), "dst")
         ahead = ahead.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
-        # hub and sub-vertex may lie in different clusters, so the spokes of split hubs go on as edges too
-        current = cut_lineage(ahead.unionByName(_spokes(clusters)).distinct())
+        current = cut_lineage(ahead.distinct())
     else:
         raise RuntimeError(f"edges are left after {max_levels} levels")
     if assigned is None:
@@ -100,14 +99,6 @@ def connected_groups(edges: DataFrame, max_levels: int = 60) -> DataFrame:
     return assigned.where(~F.col("id").contains("\x1f"))
 
 
-def _spokes(clusters: DataFrame) -> DataFrame:
-    """Edges between the clusters of a hub and of its sub-vertices, where they differ."""
-    sub = clusters.where(F.col("v").contains("\x1f"))
-    up = sub.select(F.regexp_replace("v", "\x1f[0-9]+$", "").alias("v"), F.col("c").alias("a"))
-    return up.join(clusters.withColumnRenamed("c", "b"), "v").where("a <> b").select(
-        F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
-
-
 def smallest_member(groups: DataFrame) -> DataFrame:
     """(id, group_id) of groups of two or more: group_id is the smallest id among those of equal root."""
     heads = groups.groupBy("root").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
