@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re as sre
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -28,12 +29,16 @@ OUTNUMBERS = 3
 HYPHENS = "-\u2010\u00ac\u00ad"
 _SOFT = "\u00ac\u00ad"
 
-_DIGITLIKE = re.compile(r"(?<![\p{L}0-9])[0-9OolISB|!]*[0-9][0-9OolISB|!]*(?!\p{L})")
+_DIGITLIKE = sre.compile(r"(?<![^\W_])[0-9OolISB|!]*[0-9][0-9OolISB|!]*(?![^\W\d_])")
+#: Letters and digits that touch within what may be a number.
+_MIXED = sre.compile(r"[0-9A-Za-z|!.,/-]*(?:[0-9][.,]?[OolISB|!]|[OolISB|!][.,]?[0-9])[0-9A-Za-z|!.,/-]*")
+_FOUR_LETTERS = sre.compile(r"(?:[^\W\d_].*?){4}")
+_SEPARATORS = sre.compile(r"[\W_]+|\d+")
 #: A page number set off from a header or footer on the same line.
-_SET_OFF = re.compile(r"^\s*[0-9OolISB]{1,5}\s{3,}(?=\S)|(?<=\S)\s{3,}[0-9OolISB]{1,5}\s*$")
+_SET_OFF = sre.compile(r"^\s*[0-9OolISB]{1,5}\s{3,}(?=\S)|(?<=\S)\s{3,}[0-9OolISB]{1,5}\s*$")
 _CAPS_FIRM = re.compile(r"[\p{Lu}0-9!|á ]+ (?:L[I1l!]M[I1l!]TED|LLP|C[O0]RP[O0]RAT[I1l!][O0]N)")
 _TO_DIGIT = str.maketrans("OolISB|!", "00115811")
-_LETTERS = re.compile(r"\p{L}")
+_LETTERS = sre.compile(r"[^\W\d_]")
 _ROMAN = re.compile(r"[ivxlcdm]+", re.I)
 _NUMBER_FORMS = [
     # pattern of a whole line with the number as group n; strong forms are page numbers by their shape
@@ -43,7 +48,7 @@ _NUMBER_FORMS = [
     (re.compile(r"(?P<n>[0-9OolISB]{1,5})"), False),
 ]
 #: A word with the odd characters that misreading puts into it.
-_TOKEN = re.compile(r"[\p{L}\p{M}0-9!|]+(?:['’]\p{L}+)?")
+_TOKEN = sre.compile(r"[\w!|]+(?:['’][^\W\d_]+)?")
 
 
 def roman(s: str) -> int | None:
@@ -62,21 +67,21 @@ def skeleton(line: str) -> str | None:
     A number set off at either end is left out, of parts between bars only those with a number count, and a company's
     name in capitals alone stands for any such name, so that headers of all documents share a pattern.
     """
-    if len(_LETTERS.findall(line)) < 4:
+    if not _FOUR_LETTERS.search(line):
         return None
-    s = _SET_OFF.sub("", line).strip()
-    if _CAPS_FIRM.fullmatch(s):
+    s = _SET_OFF.sub("", line).strip() if "   " in line else line.strip()
+    if s.isupper() and _CAPS_FIRM.fullmatch(s):
         return "@"
-    s = _DIGITLIKE.sub("#", s)
-    if " | " in s:
-        s = "|".join(x if "#" in x else "@" for x in s.split(" | "))
-    return re.sub(r"[^\p{L}#|&@]+", " ", fold_text(s.replace("|", "\x00")).replace("\x00", "|")).strip()
+    parts = [_DIGITLIKE.sub(" zz ", x) for x in s.split(" | ")]
+    if len(parts) > 1:
+        parts = [x if " zz " in x else "@" for x in parts]
+    return "|".join(_SEPARATORS.sub(" ", fold_text(x)).strip() for x in parts)
 
 
 def page_number(line: str) -> tuple[int | None, bool]:
     """(number, strong) if the whole line may be a page number, else (None, False)."""
     s = line.strip()
-    if len(s) > 90:
+    if len(s) > 90 or not (any(c.isdigit() for c in s) or len(s) <= 12):
         return None, False
     for pattern, strong in _NUMBER_FORMS:
         m = pattern.fullmatch(s)
@@ -145,7 +150,7 @@ def furniture_lines(pages: DataFrame) -> DataFrame:
             yield pd.Series([[dict(zip(("line_no", "h", "edge", "torn", "num", "strong"), x)) for x in line_features(t)] for t in s], dtype=object)
 
     lines = pages.select("doc_id", "page_no", F.explode(features("txt")).alias("l")).select("doc_id", "page_no", "l.*")
-    lines = lines.withColumn("d", F.xxhash64("doc_id"))
+    lines = cut_lineage(lines.withColumn("d", F.xxhash64("doc_id")))
     per_doc = lines.where("h is not null").groupBy("h", "d").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("edge").cast("int")).alias("e"), F.sum(F.col("torn").cast("int")).alias("t"),
         F.count_if(F.col("edge")).alias("pages"))
@@ -165,7 +170,7 @@ def furniture_lines(pages: DataFrame) -> DataFrame:
 
 
 def _clean(line: str) -> str:
-    return unicodedata.normalize("NFKC", line)
+    return line if line.isascii() else unicodedata.normalize("NFKC", line)
 
 
 def body_lines(text: str, furniture) -> list[tuple[int, str]]:
@@ -200,14 +205,21 @@ def tokens(line: str) -> list[str]:
     """Words of a line, for the vocabulary and the search for misreadings; numbers and single letters left out."""
     out = []
     for t in _TOKEN.findall(line):
+        if t.isalpha():
+            if len(t) > 1:
+                out.append(t)
+            continue
         t = t.strip("!|’'")if t[-1:] in "!|’'" and not re.search(r"\p{L}[!|]\p{L}", t) else t
         if sum(c.isalpha() for c in t) >= 2 or (len(t) >= 2 and re.search(r"[!|]", t) and re.search(r"\p{L}", t)):
             out.append(t)
     return out
 
 
+_COMPOUND = sre.compile(r"(?<![\w-])[^\W\d_]+-[^\W\d_]+(?![\w-])")
+
+
 def compounds(line: str) -> list[str]:
-    return re.findall(r"(?<![\p{L}-])\p{L}+-\p{L}+(?![\p{L}-])", line)
+    return _COMPOUND.findall(line) if "-" in line else []
 
 
 def line_words(lines: list[tuple[int, str]]) -> Iterator[tuple[int, list[str], list[str]]]:
@@ -279,10 +291,10 @@ def repairs(pages: DataFrame, furniture: DataFrame) -> tuple[DataFrame, DataFram
                 for no, words, _ in line_words(lines):
                     out += [("word", doc, page, no, None, None, w.lower(), None) for w in set(words) if w.lower() not in good]
                 for no, line in lines:
-                    for t in re.findall(r"[0-9A-Za-z|!][0-9A-Za-z|!.,/-]*", line):
+                    for t in _MIXED.findall(line):
                         if numeric_misread(t.strip(".,/-!|") if not re.fullmatch(r".*\d[!|]", t) else t):
                             out.append(("number", doc, page, no, None, None, t, None))
-                prose = [(no, x) for no, x in lines if _LETTERS.search(x)]
+                prose = [x for x in lines if _LETTERS.search(x[1])]
                 for (no, line), (to, after) in zip(prose, prose[1:]):
                     end = broken_end(line)
                     if end:
