@@ -12,9 +12,9 @@ def windowed_usage(log: DataFrame, ts: str = "ts", size: str = "1 day") -> DataF
 
 
 def stream_usage(log: DataFrame, ts: str = "ts", lateness: str = "1 hour", size: str = "1 day") -> DataFrame:
-    return windowed_usage(log.withWatermark(ts, lateness), ts, size)
+    return windowed_usage(log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness), ts, size)
 
 
 def stream_once(log: DataFrame, key: str, ts: str = "ts", lateness: str = "1 hour") -> DataFrame:
     """Each key once, within the lateness (idempotent ingest)."""
-    return log.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
+    return log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
