@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import pandas as pd
 import regex as re
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgermill.llm.components import connected_groups
 from ledgermill.operators.skew import skew_join_unique
@@ -32,7 +32,10 @@ NICKNAMES = {
     "mike": "michael", "nick": "nicholas", "tom": "thomas", "joe": "joseph", "alex": "alexander", "fred": "frederick", "ed": "edward", "ted": "theodore", "theo": "theodore",
     "debbie": "deborah", "maggie": "margaret", "peggy": "margaret", "chris": "christopher", "zach": "zachariah", "zac": "zachariah", "ozzie": "oswald", "venky": "venkatesh",
     "subbu": "subramaniam", "paddy": "padmanabhan", "sid": "siddharth", "dev": "devendra", "sanju": "sanjay",
+    "raju": "rajendra", "vicky": "vikram", "shekhar": "chandrashekhar", "bala": "balasubramaniam", "yogi": "yogeshwar", "guru": "gurpreet", "ishwar": "ishwarchand", "harish": "harishchandra",
 }
+#: Spellings of one sound, each written as the second.
+SOUNDS = {"ee": "i", "oo": "u", "sh": "s", "ph": "f"}
 _COMPANY = re.compile(r"(?i)\b(?:[l1]imi?ted|ltd|[l1]{2}p|l\.l\.p|corp(?:oratio?n|n)?|pvt|private|m/s)\b")
 _FORMER = re.compile(r"(?i)\(\s*(?:formerly|erstwhile|previously|earlier|f/?k/?a|now)\b.*$")
 _ODD = str.maketrans("0158!|á", "olsbiia")
@@ -42,7 +45,7 @@ FULL, INITIAL, CUT = 0, 1, 2
 def parse(name: str, kind: str | None, common: frozenset[str] = frozenset()) -> tuple[str, list[tuple[int, str, int, bool]], str | None]:
     """(kind, tokens, nickname): tokens are (place, text, FULL | INITIAL | CUT, is a legal form).
 
-    Titles, marks, a former name and the case are gone; misread and long-vowel spellings are written one way; run-together
+    Titles, marks, a former name and the case are gone; misread characters are read as letters; run-together
     words with inner capitals and initials are taken apart. kind is person or company; if it is not given, a legal form
     or a word of common, the usual words of company names, makes a company.
     """
@@ -70,8 +73,6 @@ def parse(name: str, kind: str | None, common: frozenset[str] = frozenset()) ->
                 out.append((len(out), LEGAL.get(t, "ltd"), FULL, True))
                 continue
             t = SHORT_WORDS.get(t, t)
-        if kind == "person":
-            t = t.replace("ee", "i").replace("oo", "u")
         if kind == "person" and len(t) == 2 and raw.isupper() and len(words) <= 3 and not dot and not s.isupper():
             out += [(len(out) + i, c, INITIAL, False) for i, c in enumerate(t)]
         elif len(t) == 1:
@@ -86,6 +87,12 @@ def parse(name: str, kind: str | None, common: frozenset[str] = frozenset()) ->
     return kind, out, nick
 
 
+def one_sound(c: Column) -> Column:
+    for a, b in SOUNDS.items():
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
 def deletions(t: str) -> list[str]:
     """t and all strings with one character less; two strings one edit or swap apart share at least one."""
     return list(dict.fromkeys([t, *(t[:i] + t[i + 1 :] for i in range(len(t)))]))
@@ -171,11 +178,16 @@ def canonical_tokens(strings: DataFrame, common: frozenset[str]) -> DataFrame:
     """strings with kind, nick and tokens rewritten: (name, n, dins, kind, nick, toks: place, t, form, legal, last)."""
     table = cut_lineage(_token_table(strings, common))
     flat = table.select("name", "n", "kind", F.explode("tokens").alias("k")).select("name", "n", "kind", "k.*")
-    fixes = cut_lineage(respellings(flat))
-    # a slip of a slip: follow the replacement once more
-    again = fixes.select("kind", F.col("t").alias("good"), F.col("good").alias("better"))
-    fixes = fixes.join(again, ["kind", "good"], "left").select("kind", "t", F.coalesce("better", "good").alias("good"))
-    fixed = flat.withColumn("raw", F.col("t")).join(fixes, ["kind", "t"], "left").withColumn("t", F.when(F.col("form") == FULL, F.coalesce("good", "t")).otherwise(F.col("t"))).drop("good")
+    fixed = flat.withColumn("raw", F.col("t"))
+    # slips are undone before spellings of one sound are made equal, and again after
+    for step in range(2):
+        fixes = cut_lineage(respellings(fixed))
+        again = fixes.select("kind", F.col("t").alias("good"), F.col("good").alias("better"))  # a slip of a slip
+        fixes = fixes.join(again, ["kind", "good"], "left").select("kind", "t", F.coalesce("better", "good").alias("good"))
+        good = F.when(F.col("form") == FULL, F.coalesce("good", "t")).otherwise(F.col("t"))
+        fixed = fixed.join(fixes, ["kind", "t"], "left").withColumn("t", good).drop("good")
+        if step == 0:
+            fixed = cut_lineage(fixed.withColumn("t", F.when(F.col("kind") == "person", one_sound(F.col("t"))).otherwise(F.col("t"))))
     size = F.max("place").over(Window.partitionBy("name"))
     fixed = cut_lineage(fixed.withColumn("size", size))
     last = fixed.where(f"form = {FULL}").groupBy("kind", "t").agg(
@@ -274,15 +286,23 @@ def _company_links(c: DataFrame) -> DataFrame:
 
 
 def _nicknames(p: DataFrame) -> DataFrame:
-    """(given, other): familiar given names and the one full name each stands for, from quotes, equal numbers and a fixed list."""
+    """(given, other): familiar given names and the one full name each stands for.
+
+    From quotes, equal official numbers, rare beginnings of common given names beside the same surname, and a fixed list.
+    """
     quoted = p.where(f"nick is not null and gform = {FULL} and nick <> given").select(F.col("nick").alias("given"), F.col("given").alias("other"), F.lit(5).alias("w"))
     one = p.where(f"gform = {FULL}").select(F.explode("dins").alias("d"), "surname", "given").distinct()
     common = p.where(f"gform = {FULL}").groupBy("given").agg(F.count(F.lit(1)).alias("df"))
     pair = one.join(one.withColumnRenamed("given", "other"), ["d", "surname"]).where("given <> other").groupBy("given", "other").agg(F.count(F.lit(1)).alias("w"))
     pair = pair.join(common, "given").join(common.withColumnRenamed("given", "other").withColumnRenamed("df", "odf"), "other").where("odf > df").select("given", "other", "w")
-    fixed = p.sparkSession.createDataFrame([(a, b.replace("ee", "i").replace("oo", "u"), 1) for a, b in NICKNAMES.items()], "given string, other string, w int")
-    fixed = fixed.withColumn("given", F.replace(F.replace("given", F.lit("ee"), F.lit("i")), F.lit("oo"), F.lit("u")))
-    return quoted.unionByName(pair).unionByName(fixed).groupBy("given", "other").agg(F.sum("w").alias("w")).groupBy("given").agg(F.max_by("other", F.struct("w", "other")).alias("other"))
+    # a rare given name that begins a common one of the same surname
+    begun = p.where(f"gform = {FULL} and length(given) >= 3").select("surname", "given", F.left("given", F.lit(3)).alias("head")).distinct()
+    begun = begun.join(begun.withColumnRenamed("given", "other"), ["surname", "head"]).where("length(other) >= length(given) + 2 and startswith(other, given)").groupBy("given", "other").agg(F.count(F.lit(1)).alias("w"))
+    begun = begun.join(common, "given").join(common.withColumnRenamed("given", "other").withColumnRenamed("df", "odf"), "other").where("odf >= 3 * df").select("given", "other", "w")
+    fixed = p.sparkSession.createDataFrame([(a, b, 1) for a, b in NICKNAMES.items()], "given string, other string, w int").select(
+        one_sound(F.col("given")).alias("given"), one_sound(F.col("other")).alias("other"), "w")
+    quoted = quoted.withColumn("given", one_sound(F.col("given")))
+    return quoted.unionByName(pair).unionByName(begun).unionByName(fixed).groupBy("given", "other").agg(F.sum("w").alias("w")).groupBy("given").agg(F.max_by("other", F.struct("w", "other")).alias("other"))
 
 
 def _person_links(p: DataFrame) -> DataFrame:
@@ -292,6 +312,12 @@ def _person_links(p: DataFrame) -> DataFrame:
     p = p.withColumn("mid", F.when(F.size("middle") > 0, mid)).withColumn("mi", F.left("mid", F.lit(1))).withColumn(
         "mid", F.when(F.length("mid") > 1, F.col("mid"))).withColumn("din", F.expr("case when size(dins) = 1 then dins[0] end"))
     p = cut_lineage(p.select("name", "given", "gform", "mid", "mi", "surname", "din"))
+    # a surname broken in two: the last two words together are a commoner surname than the last alone
+    known = cut_lineage(p.groupBy("surname").agg(F.count(F.lit(1)).alias("sdf")))
+    q = p.withColumn("whole", F.concat("mid", "surname"))
+    q = skew_join_unique(q, known.select(F.col("surname").alias("whole"), F.col("sdf").alias("wdf")), "whole", "left")
+    q = skew_join_unique(q, known, "surname", "left").withColumn("broken", F.coalesce(F.col("wdf") > F.col("sdf"), F.lit(False)))
+    p = cut_lineage(q.select("name", "given", "gform", F.when(~F.col("broken"), F.col("mid")).alias("mid"), F.when(~F.col("broken"), F.col("mi")).alias("mi"), F.when(F.col("broken"), F.col("whole")).otherwise(F.col("surname")).alias("surname"), "din"))
     full = p.where(f"gform = {FULL}")
     gs = full.groupBy("given", "surname").agg(F.count_distinct("mid").alias("mids"), F.max("mid").alias("only"), F.count_distinct("din").alias("numbers"), F.count_distinct("mi").alias("mis"))
     j = full.join(gs, ["given", "surname"])
