@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +65,21 @@ def _remove_written(spark: SparkSession) -> None:
         pass
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once a context, so that it need not be installed on them."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgermill_shipped", False):
+        return
+    sc._ledgermill_shipped = True
+    root = Path(__file__).resolve().parent
+    where = Path(tempfile.mkdtemp(prefix="ledgermill-pkg-")) / "ledgermill_package.zip"
+    with zipfile.ZipFile(where, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(where))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; Parquet keeps pushdown and pruning."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
