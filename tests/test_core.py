@@ -166,3 +166,26 @@ def test_every_query_runs(spark, data):
     for name, f in registry.QUERIES.items():
         assert f(spark, data).columns, name
     assert registry.flagship(spark, data).count() >= 0
+
+
+def test_grounding_repairs_the_page(spark):
+    from ledgermill.operators import evidence
+
+    def rec(i, page, quote):
+        return (f"r{i}", json.dumps({"evidence": {"doc_id": "d", "page": page, "quote": quote}}))
+
+    pages = spark.createDataFrame([("d", 4, "The “first”  page text", None), ("d", 5, None, "second page\ntext"), ("d", 5, None, "second page\ntext"), ("e", 5, "third page text", None)], "doc_id string, page_no int, cleaned_text string, text string")
+    rows = [rec(1, 5, "second page text"), rec(2, 5, 'the "first" page'), rec(3, 3, "the \"first\" page"), rec(4, 5, "third page text"), rec(5, 5, "page"), ("r6", "broken"), ("r7", None)]
+    got = {r.record_id: r.found_on for r in evidence.grounded_pages(spark.createDataFrame(rows, "record_id string, payload_json string"), pages).collect()}
+    assert got == {"r1": 5, "r2": 4, "r3": 4, "r4": None, "r5": None}
+
+
+def test_distances_equal_brute_force(spark):
+    rnd = random.Random(8)
+    es = [(f"e{i}", "R", f"v{rnd.randint(0, 40)}", f"v{rnd.randint(0, 40)}") for i in range(45)]
+    got = {r.id: r.hops for r in graph.distances(spark.createDataFrame(es, "edge_id string, rel string, src_id string, dst_id string"), spark.createDataFrame([("v1",)], "id string"), 3).collect()}
+    want, front = {"v1": 0}, {"v1"}
+    for hop in (1, 2, 3):
+        front = {y for _, _, a, b in es for x, y in ((a, b), (b, a)) if x in front} - set(want)
+        want |= {v: hop for v in front}
+    assert got == want
