@@ -114,7 +114,7 @@ _NAME_RULES = [
     (re.compile(rf"(?:^|(?<=[.;:।\n]\s)|(?<=\n))(?P<n>{_ANY}(?: {_ANY}){{1,3}})(?=(?: raised a query|: Thank you| was appointed (?:Non|Nominee|Indep|Whole|Managing|Chief|Company|Chair)| को सूचना))"), 0.8),
     (re.compile(rf"(?:thanked|imposed on|issued to|addressed to|signed by|received from|Attention:|Attn:|Contact person:?|name of|Dear)\s+(?:{_TITLE}\s+)?(?P<n>{_NAME}){_END}"), 0.6),
     (re.compile(rf"{_CLOSE},?[ ]*\n+\s*(?:{_TITLE}\s+)?(?P<n>{_NAME}){_END}"), 0.9),
-    (re.compile(rf"{_CLOSE},?[ ]*\n+[ ]*(?P<n>{_ANY_NAME})(?=[ ]*(?:\n|$))"), 0.8),
+    (re.compile(rf"{_CLOSE},?[ ]*\n+[ ]*(?P<n>{_ANY_NAME})(?=[ ]*(?:\n|$|[<&]|[^\p{{L}}\p{{N}}\p{{P}}\s]))"), 0.8),
 ]
 _FIRM = re.compile(r"^[ ]*(?:&|and|,)?[ ]*(?:& )?(?:Associates|Co\b|Company|LLP|Limited|Ltd|Private|Pvt|Corporation|Corp|Group|Sons|Partners|Chartered)|^ & ")
 #: Words that make a capitalised phrase no person's name.
