@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +21,30 @@ RPT_SCHEMA = "amount_inr double, amount_raw string, fiscal_year string, evidence
 _READ = "struct<value:double,factor:double,currency:string,basis:string>"
 
 
+_UNIT_WORD = r"(?:whole|of|in|INR|Rs|rupees?|₹|USD|US\$|S\$|SGD|EUR|€|GBP|£|JPY|¥|\$|crores?|crs?|lakhs?|lacs?|millions?|mn|mio|mln|billions?|bn|bln|trillion|tn|thousands?|['’]000s?|000['’]?s)"
+_FRONT = re.compile(rf"^\s*(?:\(([^()]*)\)|((?:all\s+)?(?:amounts?|figures?)\s+(?:are\s+)?(?:stated\s+|expressed\s+)?in\s+(?:{_UNIT_WORD}(?![A-Za-z])[\s.]*)+))", re.I)
+
+
+def note_unit(quote: str | None) -> tuple[float | None, str | None]:
+    """(factor, currency) of the unit note of a quote 'party | kind | amount': beside the amount, or before the party's name.
+
+    A note before the name is in brackets or begins with 'Amount in' or the like, so that words of the name are no unit.
+    """
+    if not isinstance(quote, str):
+        return None, None
+    unit = read_unit(quote.rsplit("|", 1)[-1])
+    if unit[0] is not None:
+        return unit
+    m = _FRONT.match(quote.split("|", 1)[0])
+    return read_unit(m.group(1) or m.group(2)) if m else (None, None)
+
+
 def _stated(raw: pd.Series, quote: pd.Series) -> pd.DataFrame:
     out = []
     for r, q in zip(raw, quote):
         a, basis = read_amount(r), "raw"
         if a.value is not None and a.factor is None:
-            # the unit note is what the quote has beside the party and the kind of transaction
-            f, c = read_unit(q.rsplit("|", 1)[-1] if isinstance(q, str) else None)
+            f, c = note_unit(q)
             a, basis = a._replace(factor=f, currency=a.currency or c), "quote"
         out.append({"value": a.value, "factor": a.factor, "currency": a.currency, "basis": basis if a.factor is not None else None})
     return pd.DataFrame(out, columns=["value", "factor", "currency", "basis"])
@@ -79,7 +97,7 @@ def posteriors(value: Column, fit: list[dict]) -> Column:
 def transaction_amounts(records: DataFrame, rates: DataFrame) -> DataFrame:
     """One row per rpt record: record_id, amount_inr, amount_raw, value, factor, currency, basis, posterior, uncertain, rupees.
 
-    basis says where the unit comes from: raw, quote (a note beside the amount in the evidence), or mixture (no unit is
+    basis says where the unit comes from: raw, quote (a note beside the amount or before the party in the evidence), or mixture (no unit is
     stated; the most probable factor, its posterior, and uncertain where that is below CERTAIN). Foreign currency counts
     by rates of the payload's fiscal year; a missing rate or number gives null rupees and null basis. Null or malformed
     payloads give null fields. Repeated rows stay repeated; an empty table gives an empty result.
@@ -121,8 +139,6 @@ _MONEY = "struct<value:double,factor:double,currency:string,basis:string>"
 
 
 def _answer(gold: pd.Series, unit: pd.Series, question: pd.Series, kind: pd.Series) -> pd.DataFrame:
-    import re
-
     out = []
     for g, u, q, k in zip(gold, unit, question, kind):
         row = {"value": None, "factor": None, "currency": None, "basis": None}

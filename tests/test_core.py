@@ -81,6 +81,25 @@ def test_misstated_transactions(spark):
     assert units.transaction_amounts(df.limit(0), fx).count() == 0
 
 
+@pytest.mark.parametrize("quote, factor", [
+    ("(Rs. in lakhs) A Limited | Sale of services | 121.00*", 1e5), ("All amounts in INR million unless otherwise stated A | Dividend paid | 32.00", 1e6), ("(₹ in '000) A | Loan given | 5", 1e3),
+    ("(Amounts in whole rupees) A | Rent paid | 5 (a)", 1.0), ("Amount in Rs. Cr Million Steel | Rent paid | 5", 1e7), ("(₹ in crore) A | Rent paid | 5 (Rs. in lakhs)", 1e5),
+    ("Million Crore Steel Limited | Rent paid | 5", None), ("(India) Million Steel | Rent paid | 5", None), ("A | Loan in crore | 5", None), (None, None)])
+def test_note_of_a_quote(quote, factor):
+    assert units.note_unit(quote)[0] == factor
+
+
+def test_front_note_states_the_unit(spark):
+    def rec(i, inr, quote):
+        return (f"r{i}", "rpt", json.dumps({"amount_inr": inr, "amount_raw": "13", "fiscal_year": "FY2022-23", "evidence": {"quote": quote}}))
+
+    rows = [rec(1, 13.0, "(Rs. in lakhs) A Limited | Rent paid | 13"), rec(2, 13e6, "All amounts in INR million unless otherwise stated A | Rent paid | 13"), rec(3, 13.0, "A | Rent paid | 13")]
+    fx = spark.createDataFrame([], "currency string, fiscal_year string, inr_per_unit double")
+    t = units.transaction_amounts(spark.createDataFrame(rows, "record_id string, record_type string, payload_json string"), fx)
+    assert {r.record_id: r.basis for r in t.collect()} == {"r1": "quote", "r2": "quote", "r3": "mixture"}
+    assert [r.record_id for r in units.misstated_transactions(t).collect()] == ["r1"]
+
+
 def test_answers_in_crore(spark):
     rows = [("q1", "5 crore", None, "?", "number"), ("q2", "5", "lakh", "?", "number"), ("q3", "5", None, "What was it, in INR million?", "number"), ("q4", "5", "shares", "How many?", "number"), ("q5", None, "crore", "?", "number"), ("q6", "5", None, "?", "number")]
     q = spark.createDataFrame(rows, "qid string, gold_answer string, gold_unit string, question string, answer_type string")
