@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-
-
+from collections.abc import Container
 
 import pandas as pd
 import regex as re
@@ -40,9 +39,11 @@ _COMPANY = re.compile(r"(?i)\b(?:[l1]imi?ted|ltd|[l1]{2}p|l\.l\.p|corp(?:oratio?
 _FORMER = re.compile(r"(?i)\(\s*(?:formerly|erstwhile|previously|earlier|f/?k/?a|now)\b.*$")
 _ODD = str.maketrans("0158!|á", "olsbiia")
 FULL, INITIAL, CUT = 0, 1, 2
+#: A spelling this many times as common as another is the right one, however many strings have the other.
+RIGHT = 5
 
 
-def parse(name: str, kind: str | None, common: frozenset[str] = frozenset()) -> tuple[str, list[tuple[int, str, int, bool]], str | None]:
+def parse(name: str, kind: str | None, common: Container[str] = frozenset()) -> tuple[str, list[tuple[int, str, int, bool]], str | None]:
     """(kind, tokens, nickname): tokens are (place, text, FULL | INITIAL | CUT, is a legal form).
 
     Titles, marks, a former name and the case are gone; misread characters are read as letters; run-together
@@ -129,16 +130,16 @@ def name_strings(records: DataFrame) -> DataFrame:
 _TOKENS = "struct<kind:string,nick:string,tokens:array<struct<place:int,t:string,form:int,legal:boolean>>>"
 
 
-def company_words(strings: DataFrame) -> frozenset[str]:
-    """Words that make up a 150th or more of all words of company names, so fewer than 150; legal forms left out."""
+def company_words(strings: DataFrame) -> dict[str, int]:
+    """Words, with their counts, that make up a 150th or more of all words of company names, so fewer than 150; legal forms left out."""
     firm = strings.where(F.expr("kind = 'company' or name rlike '(?i)\\\\b(limited|ltd|llp|private|corporation)\\\\b'"))
     plain = F.regexp_replace(F.regexp_replace("name", r"\(.*$", ""), r"([a-z])([A-Z][a-z])", "$1 $2")
     w = firm.select(F.explode(F.split(F.lower(plain), r"[^\p{L}]+")).alias("t")).where(F.length("t") > 3).where(~F.col("t").isin(*[k for k in LEGAL])).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
     total = w.agg(F.sum("c").alias("s"))
-    return frozenset(r["t"] for r in w.join(F.broadcast(total), F.col("c") * 150 >= F.col("s")).select("t").collect())
+    return {r["t"]: r["c"] for r in w.join(F.broadcast(total), F.col("c") * 150 >= F.col("s")).select("t", "c").collect()}
 
 
-def _token_table(strings: DataFrame, common: frozenset[str]) -> DataFrame:
+def _token_table(strings: DataFrame, common: dict[str, int]) -> DataFrame:
     @F.pandas_udf(_TOKENS)
     def read(name: pd.Series, kind: pd.Series) -> pd.DataFrame:
         out = []
@@ -151,10 +152,11 @@ def _token_table(strings: DataFrame, common: frozenset[str]) -> DataFrame:
 
 
 def respellings(tokens: DataFrame) -> DataFrame:
-    """(kind, t, good): for each rare word a commoner one that one slip makes it from.
+    """(kind, t, good): for each word a much commoner one that one slip makes it from.
 
     tokens has name, n, kind, t, form, legal. Words are compared by equi-join on their one-deletion forms. A word is
-    replaced when few strings have it and clearly more strings, or at a tie more records, have the other.
+    replaced when RIGHT times as many strings and records have the other. Of up to three strings, too few for a ratio to
+    say much, three times as many, or more strings with twice the records, or at a tie thrice the records, do.
     """
     v = tokens.where(f"form = {FULL} and not legal and length(t) >= 4").groupBy("kind", "t").agg(F.count_distinct("name").alias("df"), F.sum("n").alias("n"))
     v = cut_lineage(v)
@@ -168,13 +170,14 @@ def respellings(tokens: DataFrame) -> DataFrame:
         return pd.Series([one_slip(x, y) and not (x[1:] == y[1:] and len(x) < 7) for x, y in zip(a, b)])
 
     keyed = v.withColumn("key", F.explode(forms("t")))
-    rare = keyed.where("df <= 3").select("kind", "key", "t", F.col("df").alias("rdf"), F.col("n").alias("rn"))
-    pairs = rare.join(keyed.withColumnRenamed("t", "good"), ["kind", "key"]).where(
-        "good <> t and (df >= 3 * rdf or (df > rdf and n >= 2 * rn) or (df = rdf and n >= 3 * rn))").select("kind", "t", "good", "df", "n").distinct()
+    other = keyed.select("kind", "key", "t", F.col("df").alias("rdf"), F.col("n").alias("rn"))
+    few = "rdf <= 3 and (df >= 3 * rdf or (df > rdf and n >= 2 * rn) or (df = rdf and n >= 3 * rn))"
+    pairs = other.join(keyed.withColumnRenamed("t", "good"), ["kind", "key"]).where(
+        f"good <> t and (({few}) or (df >= {RIGHT} * rdf and n >= {RIGHT} * rn))").select("kind", "t", "good", "df", "n").distinct()
     return pairs.where(slip("t", "good")).groupBy("kind", "t").agg(F.max_by("good", F.struct("df", "n", "good")).alias("good"))
 
 
-def canonical_tokens(strings: DataFrame, common: frozenset[str]) -> DataFrame:
+def canonical_tokens(strings: DataFrame, common: dict[str, int]) -> DataFrame:
     """strings with kind, nick and tokens rewritten: (name, n, dins, kind, nick, toks: place, t, form, legal, last)."""
     table = cut_lineage(_token_table(strings, common))
     flat = table.select("name", "n", "kind", F.explode("tokens").alias("k")).select("name", "n", "kind", "k.*")
@@ -202,15 +205,18 @@ def _subsequence(a: str, b: str) -> bool:
     return all(c in it for c in a)
 
 
-def company_forms(toks: list[dict], common: list[str]) -> dict:
-    """core words, the run-together writing and the legal form of a company name; common expands cut words."""
+def company_forms(toks: list[dict], common: dict[str, int]) -> dict:
+    """core words, the run-together writing and the legal form of a company name; common, with counts, expands cut words.
+
+    A word without a dot is cut when at most two strings have it or the whole word is RIGHT times as common.
+    """
     core = []
     for x in toks:
         if x["legal"]:
             continue
         t = x["t"]
-        if x["form"] == CUT or (x["df"] <= 2 and t not in common):
-            fits = [w for w in common if w[0] == t[0] and len(w) > len(t) and _subsequence(t, w) and (w.startswith(t) or len(t) <= 5)]
+        if x["form"] == CUT or t not in common:
+            fits = [w for w in common if (x["form"] == CUT or x["df"] <= 2 or common[w] >= RIGHT * x["df"]) and w[0] == t[0] and len(w) > len(t) and _subsequence(t, w) and (w.startswith(t) or len(t) <= 5)]
             if len(fits) > 1:
                 fits = [w for w in fits if w.startswith(t)] or fits
             if x["form"] == CUT and len(fits) == 1 or (len(fits) == 1 and fits[0].startswith(t)):
@@ -255,7 +261,7 @@ def name_groups(records: DataFrame) -> DataFrame:
         empty = {"words": None, "run": None, "size": None, "given": None, "gform": None, "middle": None, "surname": None}
         rows = []
         for k, t, n in zip(kind, toks, nick):
-            rows.append(empty | (company_forms(list(t), sorted(common)) if k == "company" else person_forms(list(t), n)))
+            rows.append(empty | (company_forms(list(t), common) if k == "company" else person_forms(list(t), n)))
         return pd.DataFrame(rows, columns=list(empty))
 
     f = cut_lineage(toks.withColumn("x", forms("kind", "toks", "nick")).select("name", "n", "dins", "kind", "nick", "raw_run", "x.*"))
@@ -281,7 +287,7 @@ def _company_links(c: DataFrame) -> DataFrame:
 
     k = runs.withColumn("key", F.explode(cut("run")))
     near = k.select("key", F.col("run").alias("a"), F.col("n").alias("an"), F.col("df").alias("adf")).join(k.select("key", F.col("run").alias("b"), F.col("n").alias("bn"), F.col("df").alias("bdf")), "key")
-    near = near.where("a <> b and adf <= 2 and (bn > an or (bn = an and a < b))").select("a", "b").distinct().where(slip("a", "b"))
+    near = near.where(f"a <> b and ((adf <= 2 and (bn > an or (bn = an and a < b))) or (bdf >= adf and bn >= {RIGHT} * an))").select("a", "b").distinct().where(slip("a", "b"))
     return words.unionByName(run).unionByName(near.select(F.concat(F.lit("\x01r"), "a").alias("src"), F.concat(F.lit("\x01r"), "b").alias("dst")))
 
 

@@ -162,3 +162,26 @@ def test_names_of_one_entity_are_linked(spark):
     pairs = names.same_pairs(names.name_groups(df)).collect()
     assert all(r.name_a < r.name_b for r in pairs) and len(pairs) == len(set(pairs))
     assert names.name_groups(df.limit(0)).count() == 0
+
+
+def test_a_slip_that_many_strings_repeat_is_undone(spark):
+    surnames = ["Kuledruri", "Velaris", "Oskandra", "Tumbrokar", "Halontol", "Fenayvun", "Moridam", "Pinalkup"]
+    rows = [_record(i, "directors", person_name=f"{given} {s}", company_name="Destrinom Motors Limited")
+            for i, (given, s) in enumerate([("Gautam", x) for x in surnames for _ in range(6)] + [("Gautam", f"{x}{y}") for x in surnames for y in ("war", "kar", "nath")] + [("Gatuam", x) for x in surnames[:4]])]
+    # a run-together slip in three spellings, of a name no other word repeats
+    firms = ["Gallimorn Ports Limited", "GALLIMORN PORTS LIMITED", "Gallimorn Ports Ltd"]
+    wrong = ["GALLIMORNPOTRS LIMITED", "Gallimorn Potrs Ltd", "Gallimornpotrs Ltd"]
+    rows += [_record(200 + i, "directors", person_name="Usha Rao", company_name=c) for i, c in enumerate(firms * 10 + wrong)]
+    df = spark.createDataFrame(rows, "record_id string, record_type string, payload_json string, status string")
+    root = {r.name: r.root for r in names.name_groups(df).collect()}
+    for x in surnames[:4]:
+        assert root[f"Gatuam {x}"] == root[f"Gautam {x}"]
+    assert len({root[x] for x in firms + wrong}) == 1
+
+
+def test_cut_words_are_expanded_by_ratio():
+    from ledgermill.llm.names import RIGHT, company_forms
+
+    word = lambda t, df: {"t": t, "form": names.FULL, "legal": False, "df": df}
+    assert company_forms([word("velaris", 9), word("manuf", 40)], {"manufacturing": 40 * RIGHT})["words"] == "manufacturing velaris"
+    assert company_forms([word("velaris", 9), word("manuf", 40)], {"manufacturing": 40 * RIGHT - 1})["words"] == "manuf velaris"
