@@ -74,6 +74,8 @@ PHONE = re.compile(
     r")(?![\w/]|[.,-]\d)")
 PAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{3}P[A-Z]\d{4}[A-Z](?![A-Za-z0-9])")
 AADHAAR = re.compile(r"(?<![\w/.,+-])\d{4}([ -]?)\d{4}\1\d{4}(?![\w/]|[.,-]\d)")
+CARD = re.compile(r"(?<![\w/.,+-])(?:[2-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}([ -]?)\d{6}\2\d{5})(?![\w/]|[.,-]\d)")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 PASSPORT = re.compile(r"(?<![A-Za-z0-9/-])[A-Z]\d{7}(?![A-Za-z0-9/])")
 VOTER = re.compile(r"(?<![A-Za-z0-9/-])[A-Z]{3}\d{7}(?![A-Za-z0-9/])")
 DIN = re.compile(r"(?<![\w/.,+-])\d{8}(?![\w/]|[.,-]\d)")
@@ -128,7 +130,20 @@ _NOT_NAMES = set(
 
 
 def _near(text: str, a: int, b: int, kind: str) -> bool:
-    return bool(_CONTEXT[kind].search(text[max(0, a - NEAR) : a]))
+    if _CONTEXT[kind].search(text[max(0, a - NEAR) : a]):
+        return True
+    if kind == "other":
+        return False
+    # a word after the span counts within its line and sentence, unless a further number follows, whose label it may be
+    after = re.match(r"[^\d\n.;]*", text[b : b + NEAR]).group()
+    if b + len(after) < len(text) and text[b + len(after)].isdigit():
+        after = re.match(r"\s*(?:\([^()]*\))?", after).group()
+    return bool(_CONTEXT[kind].search(after))
+
+
+def _check_digit(number: str) -> bool:
+    """An Aadhaar number's first digit and Verhoeff's check; three years in a row are none."""
+    return number[0] in "23456789" and verhoeff(number) and not re.fullmatch(r"(?:(?:19|20)\d\d[ -]?){3}", number)
 
 
 def _name_end(text: str, s: int, e: int) -> tuple[int, int] | None:
@@ -157,7 +172,7 @@ def find_spans(text: str | None) -> list[Span]:
     named first in KINDS, then the longer.
 
     Patterns propose spans. Checksums and the words near a span then move its score: an Aadhaar number needs its label
-    or Verhoeff's check, a bare run of ten digits needs a word for telephones, eight digits need the label DIN. Numbers
+    or Verhoeff's check, card numbers need Luhn's and IBANs mod 97, a bare run of ten digits needs a word for telephones, eight digits need the label DIN. Numbers
     after a word such as order or scrip are none of a person's. Null and empty text have no spans.
     """
     if not text:
@@ -174,7 +189,13 @@ def find_spans(text: str | None) -> list[Span]:
             add(m, "email", 0.7)
     for m in AADHAAR.finditer(text):
         other = _near(text, m.start(), m.end(), "other")
-        add(m, "id_number", 0.3 + 0.5 * _near(text, m.start(), m.end(), "aadhaar") + 0.1 * verhoeff(m.group()) - 0.4 * other)
+        add(m, "id_number", 0.3 + 0.5 * _near(text, m.start(), m.end(), "aadhaar") + 0.3 * _check_digit(m.group()) - 0.4 * other)
+    for m in CARD.finditer(text):
+        if luhn(m.group()):
+            add(m, "id_number", 0.7 - 0.4 * _near(text, m.start(), m.end(), "other"))
+    for m in IBAN.finditer(text):
+        if mod97(m.group()):
+            add(m, "id_number", 0.9)
     for pattern, label, base in ((PAN, "pan", 0.6), (PASSPORT, "passport", 0.2), (VOTER, "voter", 0.2), (DIN, "din", 0.3)):
         for m in pattern.finditer(text):
             add(m, "id_number", base + 0.5 * _near(text, m.start(), m.end(), label) - 0.3 * _near(text, m.start(), m.end(), "other"))

@@ -141,3 +141,18 @@ def test_small_page_functions():
     assert pages.roman("cxix") == 119 and pages.roman("xli") == 41
     assert pages.page_number("- 12 -") == (12, True) and pages.page_number("l2") == (12, False) and pages.page_number("12.5") == (None, False)
     assert pages.numeric_misread("33.O") and pages.numeric_misread("2O19-20") and not pages.numeric_misread("FY2021-22")
+
+
+def test_check_digits_and_words_after_a_number():
+    def found(text):
+        return [(x.kind, text[x.start : x.end]) for x in pii.find_spans(text)]
+
+    good = next(f"2345 6789 012{d}" for d in range(10) if pii.verhoeff(f"23456789012{d}"))
+    bad = next(f"2345 6789 012{d}" for d in range(10) if not pii.verhoeff(f"23456789012{d}"))
+    assert found(f"He gave {good} there") == [("id_number", good)] and found(f"He gave {bad} there") == []
+    assert found("Paid by 4111 1111 1111 1111 then") == [("id_number", "4111 1111 1111 1111")] and found("Paid by 4111 1111 1111 1112 then") == []
+    assert found("Wire to GB82 WEST 1234 5698 7654 32 now") == [("id_number", "GB82 WEST 1234 5698 7654 32")] and found("Wire to GB83 WEST 1234 5698 7654 32 now") == []
+    assert found("5928728864 (mobile)") == [("phone", "5928728864")] and found("00312121 (DIN)") == [("id_number", "00312121")]
+    assert found("in 00312120 shares, DIN 00312121") == [("id_number", "00312121")]
+    year = next(f"{a} {a + 1} {a + 2}" for a in range(2000, 2098) if pii.verhoeff(f"{a}{a + 1}{a + 2}"))
+    assert found(f"in {year} it") == []
