@@ -156,3 +156,26 @@ def test_check_digits_and_words_after_a_number():
     assert found("in 00312120 shares, DIN 00312121") == [("id_number", "00312121")]
     year = next(f"{a} {a + 1} {a + 2}" for a in range(2000, 2098) if pii.verhoeff(f"{a}{a + 1}{a + 2}"))
     assert found(f"in {year} it") == []
+
+
+def test_names_by_general_evidence(spark):
+    def names(text, given=frozenset()):
+        return {text[x.start : x.end] for x in pii.find_spans(text, given) if x.kind == "name"}
+
+    text = "We met Ravi Kumar yesterday. Payment was made by Asha Mehta to the vendor. Ravi Kumar Associates and Asha Steel Limited were paid; asha mehta agreed."
+    assert names(text, {"ravi", "asha"}) == {"Ravi Kumar", "Asha Mehta"} and names(text) == set()
+    assert names("The claim of R. K. Narayanan's estate was settled.") == {"R. K. Narayanan"}
+    assert names("Mrs. Lila de Souza spoke, and Sen, Amartya said no.", {"amartya"}) >= {"Sen, Amartya"}
+    assert names("A cheque went to usha iyer in May.", {"usha"}) == set()
+    assert names("It was thanked usha iyer there.", {"usha"}) == {"usha iyer"}
+    assert names("He lives at 12, Ravi Kumar Marg, Velapuri 514 944.", {"ravi"}) == set()
+    rows = [(1, "Dr. Tara Sen came. Mr. Bose left.\nYours faithfully,\nKiran Rao"), (2, None), (3, ""), (4, "Shri Board Member spoke")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert pii.given_names(df, "text") == {"tara", "kiran"}
+    assert pii.given_names(df.limit(0), "text") == frozenset()
+    assert {r.found_value for r in pii.found_items(df.unionByName(spark.createDataFrame([(5, "Then Tara Bose sat.")], df.schema))).collect() if r.kind == "name"} >= {"Tara Bose", "Tara Sen", "Kiran Rao"}
+
+
+def test_many_spans_are_taken_apart_without_loss():
+    text = "; ".join(f"user{i}@mail{i}.example" for i in range(5000))
+    assert len(pii.find_spans(text)) == 5000
