@@ -11,5 +11,5 @@ ORACLE_SQL = {**problems.ORACLE_SQL, **reference.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """People on the boards of both of the two companies with most directors."""
-    return reference.g4_shared_directors(spark, sf_dir)
+    """The eight best chunks of every question by keyword."""
+    return reference.w2_bm25(spark, sf_dir)

@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +29,21 @@ def get_session(cpus: str = "*", memory: str = "8g", partitions: int = 8) -> Spa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared checkpoint folder the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a temporary folder; any other master raises, as a folder of the driver's own
+    disk would lose rows that executors write.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgermill-ckpt-"))
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="ledgermill-ckpt-")
+    sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -41,7 +51,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there, so a lost executor costs no recomputation.
 
     A Parquet table rather than DataFrame.checkpoint(): the latter carries statistics and constraints along, which grow
-    with every round of an iteration until planning takes longer than running. The tables go when the process ends.
+    with every round of an iteration until planning takes longer than running. The tables go when scratch() ends, or
+    else with the process.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/ledgermill-{uuid.uuid4().hex}"
@@ -55,16 +66,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 _written: list[str] = []
 
 
-def _remove_written(spark: SparkSession) -> None:
+def _remove_written(spark: SparkSession, keep: int = 0) -> None:
     try:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _written:
-            where = jvm.org.apache.hadoop.fs.Path(path)
+        while len(_written) > keep:
+            where = jvm.org.apache.hadoop.fs.Path(_written[-1])
             where.getFileSystem(conf).delete(where, True)
+            _written.pop()
     except Exception:  # the session may be gone already; its folder is then the cluster's to clean
         pass
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that cut_lineage writes inside the block; results must be saved before it ends."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        _remove_written(spark, before)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the session's Python workers, once a context, so that it need not be installed on them."""
     sc = spark.sparkContext
