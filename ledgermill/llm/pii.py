@@ -109,10 +109,10 @@ _STREET_IN = re.compile(rf"\b{_STREET}\b")
 TITLES = "Mr Mrs Ms Miss Shri Smt Sri Dr Prof Kum Kumari CA Adv".split()
 _TITLE = rf"(?:{'|'.join(TITLES)})\.?"
 #: Words that close a letter before the name of its writer.
-_CLOSE = r"(?:By order of the Board|Yours (?:faithfully|sincerely|truly)|(?:Thanks|Thank you)(?: and regards)?|(?:Warm |Best |Kind )?Regards|Sincerely|भवदीय)"
+_CLOSES = ("By order of the Board", "Yours faithfully", "Yours sincerely", "Yours truly", "Thanks", "Thank you", "Thanks and regards", "Thank you and regards", "Regards", "Warm regards", "Best regards", "Kind regards", "Warm Regards", "Best Regards", "Kind Regards", "Sincerely", "भवदीय")
 #: What is said of persons only, so that a name stands before or after it, in capitals or not.
 _ONLY_PERSONS_DO = sre.compile(r" raised a query| noted,|: Thank you| को सूचना| was (?:re-?)?appointed (?:Non|Nominee|Indep|Whole|Managing|Chief|Company|Chair|as)|, holding DIN| \(DIN| resigned| retired| ceased to be")
-_TO_PERSONS = sre.compile(r"\b(?:thanked|imposed on|As)\s+", sre.I)
+_TO_PERSONS = sre.compile(r"\b(?:thanked|imposed on|As|AS)\s+")
 #: Words beside names and other things; they count only together with other evidence.
 _BESIDE_AFTER = sre.compile(r",? (?:said|asked|added|replied|stated|observed|explained|enquired|remarked|joined|wrote|spoke|requested|proposed|seconded|who|aged|[Dd]irector|[Ss]on of|[Dd]aughter of)\b|, \(|'s\b|’s\b| ने\b| की\b")
 _BESIDE_BEFORE = sre.compile(r"(?:\b(?:thanked|issued to|addressed to|signed by|received from|met|made by|by|to|from|with|contact|Attn|Attention|name of|person|Dear|behalf of|spoke to|called|applicant|complainant|holder|nominee|appointed)[:,]?|\bimposed on) $", sre.I)
@@ -123,8 +123,7 @@ _SENTENCE = sre.compile(r"(?:^|[.!?;:।\n])\s*$")
 _ANY = r"\p{L}[\p{L}\p{M}'’.-]*"
 _ANY_NAME = rf"{_ANY},?(?: {{1,2}}{_ANY}){{1,4}}"
 _FRAMED = re.compile(rf"(?:{_TITLE}\s+)?(?P<n>{_ANY_NAME}?)(?= (?:for the services|under the|noted,))", re.I)
-_SIGNED = re.compile(rf"{_CLOSE},?[ ]*\n+\s*(?:{_TITLE}\s+)?(?P<n>{_ANY_NAME})(?=[ ]*(?:\n|$|[<&]|[^\p{{L}}\p{{N}}\p{{P}}\s]))")
-_SIGNED_AT = sre.compile(_CLOSE)
+_SIGNED = re.compile(rf"\s*(?:{_TITLE}\s+)?(?P<n>{_ANY_NAME})(?=[ ]*(?:\n|$|[<&]|[^\p{{L}}\p{{N}}\p{{P}}\s]))")
 _OPENS = re.compile(rf"(?:^|[.;:।\n]\s|\n)(?:{_TITLE}\s+)?(?P<n>{_ANY},?(?: {{1,2}}{_ANY}){{1,3}})$")
 _TITLED_ANY = re.compile(rf"(?<!\p{{L}}){_TITLE}\s+(?P<n>{_ANY_NAME}?)(?= (?:for the|under the|noted,|raised a|was appointed))")
 _FIRM = re.compile(r"^[ ]*(?:&|and|,)?[ ]*(?:& )?(?:Associates|Co\b|Company|LLP|Limited|Ltd|Private|Pvt|Corporation|Corp|Group|Sons|Partners|Chartered)|^ & ")
@@ -142,6 +141,10 @@ _STOPS_AT = sre.compile(r"[^\d\n.;]*")
 _LABEL_AFTER = sre.compile(r"\s*(?:\([^()]*\))?")
 
 
+#: Last words of runs that are no names, whatever stands before.
+_NOT_LAST = set("limited ltd llp corporation private company committee board bench tribunal exchange authority commission bank".split())
+
+
 def _near(text: str, a: int, b: int, kind: str) -> bool:
     if _CONTEXT[kind].search(text[max(0, a - NEAR) : a]):
         return True
@@ -207,6 +210,15 @@ def _segments(text: str, words: list[tuple[int, int, str]]) -> Iterator[tuple[bo
         yield titled, part
 
 
+def _closes(text: str) -> Iterator[int]:
+    """Ends of the lines that close a letter."""
+    end = text.find("\n")
+    while end >= 0:
+        if text[text.rfind("\n", 0, end) + 1 : end].rstrip(" ,\r").endswith(_CLOSES):
+            yield end
+        end = text.find("\n", end + 1)
+
+
 def _names(text: str, given: Container[str]) -> Iterator[Span]:
     """Spans that may be names, with their scores.
 
@@ -223,6 +235,8 @@ def _names(text: str, given: Container[str]) -> Iterator[Span]:
 
     for m in _RUN.finditer(text):
         s, e = m.span()
+        if "." not in m.group() and m.group().rsplit(" ", 1)[-1].lower() in _NOT_LAST:
+            continue  # a firm or a body
         for titled, part in _segments(text, _parts(text, s, e)):
             words = _trimmed(text, part)
             if not words or (len(words) > 5 and not titled) or _STREET_IN.search(text[words[0][0] : words[-1][1]]):
@@ -255,8 +269,8 @@ def _names(text: str, given: Container[str]) -> Iterator[Span]:
         m = _OPENS.search(text[base : at.start()])
         if m:
             yield from offer(_trimmed(text, _parts(text, base + m.start("n"), base + m.end("n"))), 0.8)
-    for at in _SIGNED_AT.finditer(text):
-        m = _SIGNED.match(text, at.start())
+    for at in _closes(text):
+        m = _SIGNED.match(text, at)
         if m:
             words = _parts(text, *m.span("n"))
             small = [i for i, w in enumerate(words) if w[2][0].islower()]
@@ -347,9 +361,11 @@ def given_names(texts: DataFrame, text_col: str) -> frozenset[str]:
 
     All texts count; a built-in expression over each, so no Python worker sees them.
     """
-    close = _CLOSE.replace("भवदीय|", "")
     t = F.col(text_col)
-    pattern = rf"(?:(?<!\p{{L}})(?:{'|'.join(TITLES)})\.?\s+|{close},?[ ]*\n+\s*)(\p{{Lu}}\p{{Ll}}{{2,}}) \p{{Lu}}"
+    # a letter's close is looked for from the line end after it, so that few places are tried
+    close = rf"\n(?<=(?:{'|'.join(_CLOSES)}),?[ ]{{0,2}}\n)\n*[ ]*"
+    title = r"[MSDPKCA](?<!\p{L}.)(?:rs?|s|iss|hri|mt|ri|rof|um(?:ari)?|A|dv)\.?\s+"
+    pattern = rf"(?:{title}|{close})(\p{{Lu}}\p{{Ll}}{{2,}}) \p{{Lu}}"
     words = texts.where(t.isNotNull()).select(F.explode(F.regexp_extract_all(t, F.lit(pattern), F.lit(1))).alias("w")).select(F.lower("w").alias("w"))
     counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("t"))
