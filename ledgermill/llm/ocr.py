@@ -14,11 +14,15 @@ LONGER = {"m": "rri", "n": "ri", "u": "ii", "d": "ci"}
 #: Single characters that no well-read word has.
 ODD = "0158!|á"
 
-_TABLE = str.maketrans(SINGLE | LONGER)
+_STEPS = list((SINGLE | LONGER).items())
 
 
 def fold_text(s: str) -> str:
-    return s.lower().translate(_TABLE)
+    """The fold of a string; no written form is a misread one, so that the steps may follow each other."""
+    out = s.lower()
+    for a, b in _STEPS:
+        out = out.replace(a, b)
+    return out
 
 
 def fold(col: Column) -> Column:

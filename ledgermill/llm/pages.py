@@ -7,13 +7,14 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import regex as re
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ledgermill.functions.fuzzy import indel_ratio
 from ledgermill.llm.ocr import fold, fold_text
+from ledgermill.operators.skew import skew_join_unique
 from ledgermill.session import cut_lineage
 
 #: Non-blank lines counted as the edge of a page, at the top and at the bottom.
@@ -26,6 +27,12 @@ STAMP_SHARE, STAMP_TIMES = 0.3, 4
 FREQUENT = 50_000
 #: A spelling is misread when another of equal fold occurs this many times as often.
 OUTNUMBERS = 3
+#: A bare number farther than FAR from page_no is a page number when FAR_PAGES pages or more have that distance, not two.
+FAR, FAR_PAGES = 60, 3
+#: Both halves of a broken word that was never seen whole are words of their own from this share of all words on.
+HALF_SHARE = 1e-6
+#: Similarity of an edge line's pattern to a repeated one, from which a damaged repetition counts as one.
+ALIKE = 90.0
 HYPHENS = "-\u2010\u00ac\u00ad"
 _SOFT = "\u00ac\u00ad"
 
@@ -33,13 +40,16 @@ _DIGITLIKE = sre.compile(r"(?<![^\W_])[0-9OolISB|!]*[0-9][0-9OolISB|!]*(?![^\W\d
 #: Letters and digits that touch within what may be a number.
 _MIXED = sre.compile(r"[0-9A-Za-z|!.,/-]*(?:[0-9][.,]?[OolISB|!]|[OolISB|!][.,]?[0-9])[0-9A-Za-z|!.,/-]*")
 _FOUR_LETTERS = sre.compile(r"(?:[^\W\d_].*?){4}")
-_SEPARATORS = sre.compile(r"[\W_]+|\d+")
+_SEPARATORS = sre.compile(r"[\W\d_]+")
+#: A letter no page has, in place of line ends while all lines of a page are rewritten.
+_LINE_END = "\ua66e"
 #: A page number set off from a header or footer on the same line.
 _SET_OFF = sre.compile(r"^\s*[0-9OolISB]{1,5}\s{3,}(?=\S)|(?<=\S)\s{3,}[0-9OolISB]{1,5}\s*$")
 _CAPS_FIRM = re.compile(r"[\p{Lu}0-9!|á ]+ (?:L[I1l!]M[I1l!]TED|LLP|C[O0]RP[O0]RAT[I1l!][O0]N)")
 _TO_DIGIT = str.maketrans("OolISB|!", "00115811")
 _LETTERS = sre.compile(r"[^\W\d_]")
-_ROMAN = re.compile(r"[ivxlcdm]+", re.I)
+_ROMAN = re.compile(r"(?=.)m*(?:c[md]|d?c{0,3})(?:x[cl]|l?x{0,3})(?:i[xv]|v?i{0,3})", re.I)
+_DIGIT = sre.compile(r"[0-9]")
 _NUMBER_FORMS = [
     # pattern of a whole line with the number as group n; strong forms are page numbers by their shape
     (re.compile(r"[-–—]\s*(?P<n>[0-9OolISB]{1,5})\s*[-–—]"), True), (re.compile(r"\[\s*(?P<n>[0-9OolISB]{1,5})\s*\]"), True),
@@ -47,6 +57,8 @@ _NUMBER_FORMS = [
     (re.compile(r"(?P<n>[0-9OolISB]{1,5})\s*\|\s*\D.*"), True), (re.compile(r".*\D\s*\|\s*(?P<n>[0-9OolISB]{1,5})"), True),
     (re.compile(r"(?P<n>[0-9OolISB]{1,5})"), False),
 ]
+_BAR_INSIDE = sre.compile(r"[^\W\d_][!|][^\W\d_]")
+_TWO_LETTERS = sre.compile(r"[^\W\d_].*?[^\W\d_]")
 #: A word with the odd characters that misreading puts into it.
 _TOKEN = sre.compile(r"[\w!|]+(?:['’][^\W\d_]+)?")
 
@@ -57,8 +69,12 @@ def roman(s: str) -> int | None:
     n = [values.get(c) for c in s.lower()]
     if not n or None in n:
         return None
-    total = sum(-a if a < b else a for a, b in zip(n, [*n[1:], 0]))
-    return total
+    return sum(-a if a < b else a for a, b in zip(n, [*n[1:], 0]))
+
+
+def is_roman(s: str) -> bool:
+    """True for a numeral in its one right spelling, so that few words pass."""
+    return bool(_ROMAN.fullmatch(s))
 
 
 def skeleton(line: str) -> str | None:
@@ -78,18 +94,29 @@ def skeleton(line: str) -> str | None:
     return "|".join(_SEPARATORS.sub(" ", fold_text(x)).strip() for x in parts)
 
 
+def skeletons(text: str, lines: list[str]) -> list[str | None]:
+    """skeleton of each line of a text; the plain lines are rewritten all at once, which costs a third."""
+    at_once = _SEPARATORS.sub(" ", fold_text(_DIGITLIKE.sub(" zz ", text)).replace("\n", _LINE_END)).split(_LINE_END)
+    plain = len(at_once) == len(lines)
+    out: list[str | None] = []
+    for line, folded in zip(lines, at_once if plain else lines):
+        if not plain or "|" in line or "   " in line or (line.isupper() and _CAPS_FIRM.fullmatch(line.strip())):
+            out.append(skeleton(line))
+        else:
+            out.append(folded.strip() if _FOUR_LETTERS.search(line) else None)
+    return out
+
+
 def page_number(line: str) -> tuple[int | None, bool]:
     """(number, strong) if the whole line may be a page number, else (None, False)."""
     s = line.strip()
-    if len(s) > 90 or not (any(c.isdigit() for c in s) or len(s) <= 12):
-        return None, False
-    for pattern, strong in _NUMBER_FORMS:
-        m = pattern.fullmatch(s)
-        if m and any(c.isdigit() for c in m["n"]):
-            return int(m["n"].translate(_TO_DIGIT)), strong
-    if _ROMAN.fullmatch(s) and len(s) <= 12 and (s.islower() or s.isupper()):
-        n = roman(s)
-        return (n, True) if n else (None, False)
+    if _DIGIT.search(s):
+        for pattern, strong in _NUMBER_FORMS:
+            m = pattern.fullmatch(s)
+            if m and _DIGIT.search(m["n"]):
+                return int(m["n"].translate(_TO_DIGIT)), strong
+    elif (s.islower() or s.isupper()) and " " not in s and is_roman(s):
+        return roman(s), True
     return None, False
 
 
@@ -101,32 +128,43 @@ def page_lines(text: str) -> list[str]:
     return text.split("\n")
 
 
+def _width(lengths: list[int]) -> float:
+    """The 80th percentile, interpolated."""
+    x = sorted(lengths)
+    k = 0.8 * (len(x) - 1)
+    i = int(k)
+    return x[i] + (k - i) * (x[min(i + 1, len(x) - 1)] - x[i])
+
+
 def line_features(text: str) -> list[tuple]:
-    """(line_no, pattern hash, at edge, interrupts, page number, strong number) of the lines that may be furniture or count against it."""
+    """(line_no, pattern hash, at edge, interrupts, page number, strong number, pattern) of the lines that may be furniture
+    or count against it; the pattern itself only at an edge."""
     lines = page_lines(text)
     full = [i for i, x in enumerate(lines) if x.strip()]
     if not full:
         return []
-    width = float(np.percentile([len(lines[i]) for i in full], 80))
+    width = _width([len(lines[i]) for i in full])
+    patterns = skeletons(text, lines)
     out = []
     for k, i in enumerate(full):
         line = lines[i]
         edge = k < EDGE or k >= len(full) - EDGE
         num, strong = page_number(line) if edge else (None, False)
-        s = skeleton(line)
+        s = patterns[i]
         if s is None and num is None:
             continue
-        before = lines[i - 1].rstrip() if i else ""
-        words = line.split()
-        prose = len(line.strip()) > 0.8 * width and sum(not w[0].islower() for w in words) < 0.4 * len(words)
-        runner = not prose and not line.lstrip()[:1].islower() and not line.rstrip().endswith((".", ",", ";"))
-        short = len(line.strip()) < 0.7 * width and not line.rstrip().endswith((".", ",", ";", ":"))
-        torn = short and before != "" and before[-1] not in ".:!?;" and len(before) > 0.7 * width and 0 < i < len(lines) - 1
-        out.append((i + 1, _hash(s) if s is not None else None, edge and runner, torn, num, strong))
+        bare, before = line.strip(), lines[i - 1].rstrip() if i else ""
+        runner = False
+        if edge and not line.lstrip()[:1].islower() and bare[-1:] not in ".,;":
+            words = bare.split()
+            runner = len(bare) <= 0.8 * width or sum(not w[0].islower() for w in words) >= 0.4 * len(words)
+        torn = len(bare) < 0.7 * width < len(before) and before[-1] not in ".:!?;" and bare[-1:] not in ".,;:" and 0 < i < len(lines) - 1
+        out.append((i + 1, _hash(s) if s is not None else None, runner, torn, num, strong, s if runner else None))
     return out
 
 
-_FEATURES = "array<struct<line_no:int,h:bigint,edge:boolean,torn:boolean,num:int,strong:boolean>>"
+_FIELDS = {"line_no": "int", "h": "bigint", "edge": "boolean", "torn": "boolean", "num": "int", "strong": "boolean", "pattern": "string"}
+_FEATURES = "struct<" + ",".join(f"{k}:array<{t}>" for k, t in _FIELDS.items()) + ">"
 
 
 def page_table(pages: DataFrame) -> DataFrame:
@@ -140,30 +178,58 @@ def furniture_lines(pages: DataFrame) -> DataFrame:
     """(doc_id, page_no, line_no) of running headers and footers, page numbers and stamps of a page_table.
 
     Header or footer: a pattern at the edges of two or more pages of the document which in the whole corpus lies mostly
-    at edges, or one that the corpus shows almost only at edges; then every line of that pattern in the document. Page
-    number: a line at an edge that has a page number's form, or a bare number, and whose distance to page_no is 0 or
-    that of another page of the document. Stamp: a short line that in the corpus often interrupts a paragraph.
+    at edges, or one that the corpus shows almost only at edges; then every line of that pattern in the document, and
+    every edge line of the document whose pattern is ALIKE to it, so that a lost or strange character does not end a
+    repetition. Page number: a line at an edge that has a page number's form, or a bare number, and whose distance to
+    page_no is 0 or that of another page of the document; a bare number over FAR away needs FAR_PAGES such pages.
+    Stamp: a short line that in the corpus often interrupts a paragraph. Lines of a document are told apart by a pair of
+    64-bit hashes, patterns of the corpus by one, where a collision only blurs a count.
     """
     @F.pandas_udf(_FEATURES)
-    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.Series([[dict(zip(("line_no", "h", "edge", "torn", "num", "strong"), x)) for x in line_features(t)] for t in s], dtype=object)
+            rows = [list(zip(*line_features(t))) or [()] * len(_FIELDS) for t in s]
+            yield pd.DataFrame({k: [list(r[i]) for r in rows] for i, k in enumerate(_FIELDS)})
 
-    lines = pages.select("doc_id", "page_no", F.explode(features("txt")).alias("l")).select("doc_id", "page_no", "l.*")
+    zipped = F.explode(F.arrays_zip(*[F.col(f"x.{k}").alias(k) for k in _FIELDS]))
+    lines = pages.select("doc_id", "page_no", features("txt").alias("x")).select("doc_id", "page_no", zipped.alias("l")).select("doc_id", "page_no", "l.*")
     lines = cut_lineage(lines.withColumn("d", F.xxhash64("doc_id")))
     per_doc = lines.where("h is not null").groupBy("h", "d").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("edge").cast("int")).alias("e"), F.sum(F.col("torn").cast("int")).alias("t"),
-        F.count_if(F.col("edge")).alias("pages"))
-    corpus = per_doc.groupBy("h").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("t").alias("t"), F.max("pages").alias("most")).where(
-        F.expr(f"(most >= 2 and e >= {EDGE_SHARE} * n) or (n >= {ALONE} and e >= {EDGE_SHARE_ALONE} * n) or (n >= {STAMP_TIMES} and t >= {STAMP_SHARE} * n)"))
-    corpus = cut_lineage(corpus)
-    repeated = per_doc.join(corpus.select("h", F.col("n").alias("cn"), F.col("e").alias("ce"), F.col("t").alias("ct")), "h").where(
-        F.expr(f"(pages >= 2 and ce >= {EDGE_SHARE} * cn) or (cn >= {ALONE} and ce >= {EDGE_SHARE_ALONE} * cn) or (cn >= {STAMP_TIMES} and ct >= {STAMP_SHARE} * cn)")).select("h", "d")
-    runners = lines.where("h is not null").join(repeated, ["h", "d"], "left_semi").select("doc_id", "page_no", "line_no")
+        F.count(F.lit(1)).alias("n"), F.count_if("edge").alias("pages"), F.count_if("torn").alias("t"), F.max("pattern").alias("pattern"))
+    per_doc = cut_lineage(per_doc)
+    corpus = per_doc.groupBy("h").agg(F.sum("n").alias("cn"), F.sum("pages").alias("ce"), F.sum("t").alias("ct"), F.max("pages").alias("most"))
+    of_document = f"ce >= {EDGE_SHARE} * cn"
+    anywhere = f"(cn >= {ALONE} and ce >= {EDGE_SHARE_ALONE} * cn) or (cn >= {STAMP_TIMES} and ct >= {STAMP_SHARE} * cn)"
+    corpus = corpus.where(f"(most >= 2 and {of_document}) or {anywhere}").drop("most")
+    # a pattern such as "page #" has a row a document, so its key is split
+    repeated = cut_lineage(skew_join_unique(per_doc, corpus, "h").where(f"(pages >= 2 and {of_document}) or {anywhere}").select("h", "d", "pages", "pattern"))
+    runners = lines.where("h is not null").join(repeated.select("h", "d"), ["h", "d"], "left_semi").select("doc_id", "page_no", "line_no")
     nums = lines.where("num is not null").withColumn("off", F.col("num") - F.col("page_no"))
-    steady = nums.groupBy("d", "off").agg(F.count_distinct("page_no").alias("k")).where("k >= 2 or off = 0").select("d", "off")
-    numbers = nums.join(steady, ["d", "off"], "left_semi").where("strong or abs(off) <= 60").select("doc_id", "page_no", "line_no")
-    return runners.unionByName(numbers).distinct()
+    steady = nums.groupBy("doc_id", "off").agg(F.count_distinct("page_no").alias("k")).where("k >= 2 or off = 0")
+    numbers = nums.join(steady, ["doc_id", "off"]).where(f"strong or abs(off) <= {FAR} or k >= {FAR_PAGES}").select("doc_id", "page_no", "line_no")
+    return runners.unionByName(numbers).unionByName(_damaged_runners(lines, per_doc, repeated)).distinct()
+
+
+def _damaged_runners(lines: DataFrame, per_doc: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Edge lines of unrepeated patterns that are ALIKE to a pattern repeated at the edges of the same document's pages.
+
+    Patterns meet by equi-join on the document and either half of their words, as one damage leaves a half whole.
+    """
+    def halves(df: DataFrame) -> DataFrame:
+        w = F.split("pattern", "[ |]+")
+        m = F.floor(F.size(w) / 2).cast("int")
+        keys = F.array(F.concat(F.lit("<"), F.array_join(F.slice(w, 1, m), " ")), F.concat(F.lit(">"), F.array_join(F.slice(w, m + 1, F.size(w)), " ")))
+        return df.where(F.size(w) >= 2).withColumn("half", F.explode(keys)).where("length(half) > 4")
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([indel_ratio(x, y) >= ALIKE for x, y in zip(a, b)], dtype=bool)
+
+    whole = halves(repeated.where("pattern is not null and pages >= 2").select("d", "pattern")).withColumnRenamed("pattern", "whole")
+    single = per_doc.where("pattern is not null").join(repeated.select("h", "d"), ["h", "d"], "left_anti").select("d", "h", "pattern")
+    near = halves(single).join(whole, ["d", "half"]).where("abs(length(pattern) - length(whole)) <= 4 and whole <> pattern").select("d", "h", "pattern", "whole").distinct()
+    near = near.where(alike("pattern", "whole")).select("d", "h").distinct()
+    return lines.where("edge").join(near, ["d", "h"], "left_semi").select("doc_id", "page_no", "line_no")
 
 
 # ---- words ------------------------------------------------------------------------------------------------------
@@ -179,26 +245,30 @@ def body_lines(text: str, furniture) -> list[tuple[int, str]]:
     return [(i + 1, _clean(x)) for i, x in enumerate(page_lines(text)) if x.strip() and i + 1 not in skip]
 
 
+_FIRST_WORD, _LAST_WORD = re.compile(r"\s*([\p{L}\p{M}0-9!|]+)"), re.compile(r"[\p{L}\p{M}0-9!|'’-]+$")
+_OF_NUMBER, _NO_DIGIT_MARK = sre.compile(r"[0-9OolISB|!]+(?:[.,/-][0-9OolISB|!]+)*%?"), sre.compile(r"[SBI]|\d[BS]")
+
+
 def broken_end(line: str) -> tuple[str, str] | None:
     """(start of the word, mark) if the line ends in a hyphen after a letter; NFKC makes a soft hyphen survive."""
     s = line.rstrip()
     if len(s) > 1 and s[-1] in HYPHENS and (s[-2].isalpha() or s[-2] in "0158!|"):
-        m = re.search(r"[\p{L}\p{M}0-9!|'’-]+$", s[:-1])
+        m = _LAST_WORD.search(s[:-1])
         return (m.group(), s[-1]) if m else None
     return None
 
 
 def first_word(line: str) -> str:
-    m = re.match(r"\s*([\p{L}\p{M}0-9!|]+)", line)
+    m = _FIRST_WORD.match(line)
     return m.group(1) if m else ""
 
 
 def numeric_misread(token: str) -> bool:
     """A number with letters in place of digits."""
-    t = re.sub(r"^FY", "", token)
-    if not re.search(r"\d", t) or not re.search(r"[OolISB|!]", t):
+    t = token.removeprefix("FY")
+    if not _DIGIT.search(t) or not any(c in t for c in "OolISB|!"):
         return False
-    return bool(re.fullmatch(r"[0-9OolISB|!]+(?:[.,/-][0-9OolISB|!]+)*%?", t)) and len(re.sub(r"\D", "", t)) >= 1 and not re.fullmatch(r"[SBI]|\d[BS]", t)
+    return bool(_OF_NUMBER.fullmatch(t)) and not _NO_DIGIT_MARK.fullmatch(t)
 
 
 def tokens(line: str) -> list[str]:
@@ -209,8 +279,9 @@ def tokens(line: str) -> list[str]:
             if len(t) > 1:
                 out.append(t)
             continue
-        t = t.strip("!|’'")if t[-1:] in "!|’'" and not re.search(r"\p{L}[!|]\p{L}", t) else t
-        if sum(c.isalpha() for c in t) >= 2 or (len(t) >= 2 and re.search(r"[!|]", t) and re.search(r"\p{L}", t)):
+        if t[-1] in "!|’'" and not _BAR_INSIDE.search(t):
+            t = t.strip("!|’'")
+        if _TWO_LETTERS.search(t) or (len(t) >= 2 and ("!" in t or "|" in t) and _LETTERS.search(t)):
             out.append(t)
     return out
 
@@ -277,7 +348,8 @@ def repairs(pages: DataFrame, furniture: DataFrame) -> tuple[DataFrame, DataFram
     vocab = cut_lineage(vocabulary(joined))
     bad = _misread_word()
     total = vocab.agg(F.sum("n").alias("t"))
-    frequent = vocab.where(~bad).join(F.broadcast(total), F.col("n") * FREQUENT >= F.col("t")).select("w")
+    odd = F.expr("w rlike '[a-z][0158!|][a-z]' and not w rlike '[0-9]{2}'")
+    frequent = vocab.where(~bad & ~odd).join(F.broadcast(total), F.col("n") * FREQUENT >= F.col("t")).select("w")
     known = pages.sparkSession.sparkContext.broadcast({r["w"] for r in frequent.collect()})  # at most FREQUENT words
 
     cols = ["kind", "doc_id", "page_no", "line_no", "page_to", "line_to", "a", "b"]
@@ -292,7 +364,7 @@ def repairs(pages: DataFrame, furniture: DataFrame) -> tuple[DataFrame, DataFram
                     out += [("word", doc, page, no, None, None, w.lower(), None) for w in set(words) if w.lower() not in good]
                 for no, line in lines:
                     for t in _MIXED.findall(line):
-                        if numeric_misread(t.strip(".,/-!|") if not re.fullmatch(r".*\d[!|]", t) else t):
+                        if numeric_misread(t.strip(".,/-!|") if not (t[-1] in "!|" and t[-2:-1].isdigit()) else t):
                             out.append(("number", doc, page, no, None, None, t, None))
                 prose = [x for x in lines if _LETTERS.search(x[1])]
                 for (no, line), (to, after) in zip(prose, prose[1:]):
@@ -310,11 +382,15 @@ def repairs(pages: DataFrame, furniture: DataFrame) -> tuple[DataFrame, DataFram
     schema = "kind string, doc_id string, page_no int, line_no int, page_to int, line_to int, a string, b string"
     hits = cut_lineage(joined.select("doc_id", "page_no", "txt", "furniture").mapInPandas(search, schema))
 
-    # a word broken at a page's end goes on at the head of the next page that has prose, up to three pages on
+    # a word broken at a page's end goes on at the head of the next page that has prose: one of the three next, or, for
+    # the few words without one, the first of all later ones
     heads = hits.where("kind = 'head'").select("doc_id", F.col("page_no").alias("page_to"), F.col("line_no").alias("line_to"), F.col("a").alias("b"))
     offered = heads.withColumn("page_no", F.explode(F.array(*[F.col("page_to") - k for k in (1, 2, 3)])))
-    across = hits.where("kind = 'open'").select("doc_id", "page_no", "line_no", "a").join(offered, ["doc_id", "page_no"]).groupBy("doc_id", "page_no", "line_no", "a").agg(
-        F.min(F.struct("page_to", "line_to", "b")).alias("n")).select("doc_id", "page_no", "line_no", "n.page_to", "n.line_to", "a", "n.b")
+    ends = hits.where("kind = 'open'").select("doc_id", "page_no", "line_no", "a")
+    following = F.min(F.struct("page_to", "line_to", "b")).alias("n")
+    soon = cut_lineage(ends.join(offered, ["doc_id", "page_no"], "left").groupBy("doc_id", "page_no", "line_no", "a").agg(following))
+    later = soon.where("n.page_to is null").drop("n").join(heads, "doc_id").where("page_to > page_no").groupBy("doc_id", "page_no", "line_no", "a").agg(following)
+    across = soon.where("n.page_to is not null").unionByName(later).select("doc_id", "page_no", "line_no", "n.page_to", "n.line_to", "a", "n.b")
     breaks = hits.where("kind = 'break'").select("doc_id", "page_no", "line_no", "page_to", "line_to", "a", "b").unionByName(across).where("b <> ''")
 
     folds = vocab.groupBy("f").agg(F.first("top").alias("top"), F.first("topn").alias("topn"))
@@ -322,7 +398,8 @@ def repairs(pages: DataFrame, furniture: DataFrame) -> tuple[DataFrame, DataFram
     b = breaks.withColumn("mark", F.expr("right(a, 1)")).withColumn("head", F.element_at(F.split(F.lower(head), "-"), -1)).withColumn("tail", F.lower("b"))
     keys = F.array(*[F.struct(F.lit(k).alias("k"), fold(e).alias("f")) for k, e in (
         ("whole", F.concat("head", "tail")), ("pair", F.concat("head", F.lit("-"), "tail")), ("head", F.col("head")), ("tail", F.col("tail")))])
-    found = b.withColumn("x", F.explode(keys)).select(*b.columns, "x.k", "x.f").join(folds, "f", "left")
+    # word ends such as "tion" make heavy keys
+    found = skew_join_unique(b.withColumn("x", F.explode(keys)).select(*b.columns, "x.k", "x.f"), folds, "f", "left")
     parts = ("whole", "pair", "head", "tail")
     seen = found.groupBy(*b.columns).agg(
         *[F.coalesce(F.max(F.when(F.col("k") == k, F.col("topn"))), F.lit(0)).alias(f"n_{k}") for k in parts],
@@ -332,8 +409,8 @@ def repairs(pages: DataFrame, furniture: DataFrame) -> tuple[DataFrame, DataFram
              when n_pair > n_whole then false
              when n_whole > 0 then true
              when b rlike '^[A-Z]' and head rlike '^[a-z]+$' and a rlike '^[A-Z]' then false
-             else not (n_head > 2 and n_tail > 2) end""")
-    seen = cut_lineage(seen.withColumn("broken", broken))
+             else not (least(n_head, n_tail) > 2 and least(n_head, n_tail) >= {HALF_SHARE} * t) end""")
+    seen = cut_lineage(seen.crossJoin(F.broadcast(total)).withColumn("broken", broken).drop("t"))  # one row
     hyphens = seen.where("broken").select(
         "doc_id", "page_no", "line_no", "page_to", "line_to", F.concat(head, "b").alias("word"), F.length(head).alias("head_length"))
 
@@ -346,7 +423,6 @@ def repairs(pages: DataFrame, furniture: DataFrame) -> tuple[DataFrame, DataFram
     in_breaks = in_breaks.unionByName(torn("not broken and n_head >= 2 and head <> top_head", "page_no", "line_no", "head", "top_head"))
     in_breaks = in_breaks.unionByName(torn("not broken and n_tail >= 2 and tail <> top_tail", "page_to", "line_to", "tail", "top_tail"))
     words = hits.where("kind = 'word'").select("doc_id", "page_no", "line_no", F.col("a").alias("w"))
-    odd = F.expr("w rlike '[a-z][0158!|][a-z]' and not w rlike '[0-9]{2}'")
     misread = words.join(vocab.where(bad | odd).select("w", F.expr(f"case when w <> top and topn >= 1 then top end").alias("top")), "w").select(
         "doc_id", "page_no", "line_no", F.col("w").alias("seen"), F.col("top").alias("meant"))
     figures = hits.where("kind = 'number'").select("doc_id", "page_no", "line_no", F.col("a").alias("seen"), F.lit(None).cast("string").alias("meant"))

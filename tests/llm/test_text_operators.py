@@ -179,3 +179,24 @@ def test_names_by_general_evidence(spark):
 def test_many_spans_are_taken_apart_without_loss():
     text = "; ".join(f"user{i}@mail{i}.example" for i in range(5000))
     assert len(pii.find_spans(text)) == 5000
+
+
+def test_pattern_of_a_page_is_that_of_its_lines():
+    text = "Annual Report 2022-23 | Some Firm\n\n  12      Notes to accounts\nSOME FIRM LIMITED\nThe cornmittee paid 1O lakh\nx\n_a_ (b) c, d e\n"
+    lines = pages.page_lines(text)
+    assert pages.skeletons(text, lines) == [pages.skeleton(x) for x in lines]
+    assert pages.page_number("xiv") == (14, True) and pages.page_number("mild") == (None, False) and pages.page_number("12 | " + "long " * 40)[0] == 12
+
+
+def test_damaged_headers_far_numbers_and_far_breaks(spark):
+    rows = []
+    for p in range(1, 13):
+        head = "Yearly Statement of the Nubora Works" if p != 6 else "Yearly Statement of the Nubra Works"
+        body = "\n".join(f"the plant number {p} was seen by a {w} visitor and the committee said so" for w in ("first", "second", "third", "fourth", "fifth"))
+        rows.append(("d1", p, f"{head}\n{body}\n{p + 180}"))
+    rows += [("d2", 1, "the committee approved the remu-")] + [("d2", p, "\n\n") for p in range(2, 8)] + [("d2", 8, "neration of the auditors in full"), ("d2", 9, "the remuneration was paid")]
+    df = spark.createDataFrame([(d, p, None, t, False) for d, p, t in rows], "doc_id string, page_no int, cleaned_text string, text string, is_probable_scan boolean")
+    got = {tuple(r) for r in pages.found_noise(df).collect()}
+    assert {("d1", p, 1, "furniture") for p in range(1, 13)} | {("d1", p, 7, "furniture") for p in range(1, 13)} <= got
+    assert not any(k == "furniture" and d == "d1" and n not in (1, 7) for d, p, n, k in got)
+    assert ("d2", 1, 1, "hyphen") in got
