@@ -111,8 +111,8 @@ def one_slip(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
 
-def name_strings(records: DataFrame) -> DataFrame:
-    """(name, n, kind, dins): the distinct non-blank strings of the four fields with their records, stated kind and numbers."""
+def _each_name(records: DataFrame) -> DataFrame:
+    """(name, kind, din) of every non-blank string of the four fields; din only where it is no void number."""
     schema = "person_name string, din string, company_name string, counterparty_name string, holder_name string, holder_kind string"
     p = records.where("record_type in ('directors', 'rpt', 'shareholding')").select("record_type", F.from_json("payload_json", schema).alias("p"))
     good = F.expr("case when p.din rlike '^[0-9]{8}$' and not p.din rlike '^0+$' then p.din end")
@@ -124,12 +124,35 @@ def name_strings(records: DataFrame) -> DataFrame:
     each = p.select(F.explode(F.when(F.col("record_type") == "directors", F.array(row(F.col("p.person_name"), F.lit("person"), good), row(F.col("p.company_name"), F.lit("company"), none)))
         .when(F.col("record_type") == "rpt", F.array(row(F.col("p.counterparty_name"), none, none)))
         .otherwise(F.array(row(F.col("p.holder_name"), F.when(F.col("p.holder_kind").isin("person", "company"), F.col("p.holder_kind")), none)))).alias("x")).select("x.*")
-    return each.where("name is not null and trim(name) <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"), F.collect_set("din").alias("dins"))
+    return each.where("name is not null and trim(name) <> ''")
+
+
+def name_strings(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, n, kind, din) and (name, din): the distinct strings with their records, stated kind and only number; all numbers.
+
+    A string's numbers stay rows: a common name may have any number of them.
+    """
+    numbered = cut_lineage(_each_name(records).groupBy("name", "din").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind")))
+    one = F.when(F.min("din") == F.max("din"), F.min("din"))
+    strings = numbered.groupBy("name").agg(F.sum("n").alias("n"), F.max("kind").alias("kind"), one.alias("din"))
+    return strings, numbered.where("din is not null").select("name", "din")
 
 
 _TOKENS = "struct<kind:string,nick:string,tokens:array<struct<place:int,t:string,form:int,legal:boolean>>>"
 
 
+def _vertex() -> Column:
+    """A string as a vertex; vertices of forms start with other letters."""
+    return F.concat(F.lit("n"), "name")
+
+
+def _grows(df: DataFrame) -> DataFrame:
+    """df for the right side of a join, where it grows with the data and is not to be broadcast."""
+    return df.hint("merge")
+
+
+
+
 def company_words(strings: DataFrame) -> dict[str, int]:
     """Words, with their counts, that make up a 150th or more of all words of company names, so fewer than 150; legal forms left out."""
     firm = strings.where(F.expr("kind = 'company' or name rlike '(?i)\\\\b(limited|ltd|llp|private|corporation)\\\\b'"))
@@ -148,7 +171,7 @@ def _token_table(strings: DataFrame, common: dict[str, int]) -> DataFrame:
             out.append({"kind": kind_, "nick": nick, "tokens": [{"place": p, "t": t, "form": f, "legal": g} for p, t, f, g in toks]})
         return pd.DataFrame(out, columns=["kind", "nick", "tokens"])
 
-    return strings.withColumn("x", read("name", "kind")).select("name", "n", "dins", "x.kind", "x.nick", "x.tokens")
+    return strings.withColumn("x", read("name", "kind")).select("name", "n", "din", "x.kind", "x.nick", "x.tokens")
 
 
 def respellings(tokens: DataFrame) -> DataFrame:
@@ -172,13 +195,13 @@ def respellings(tokens: DataFrame) -> DataFrame:
     keyed = v.withColumn("key", F.explode(forms("t")))
     other = keyed.select("kind", "key", "t", F.col("df").alias("rdf"), F.col("n").alias("rn"))
     few = "rdf <= 3 and (df >= 3 * rdf or (df > rdf and n >= 2 * rn) or (df = rdf and n >= 3 * rn))"
-    pairs = other.join(keyed.withColumnRenamed("t", "good"), ["kind", "key"]).where(
+    pairs = other.join(_grows(keyed.withColumnRenamed("t", "good")), ["kind", "key"]).where(
         f"good <> t and (({few}) or (df >= {RIGHT} * rdf and n >= {RIGHT} * rn))").select("kind", "t", "good", "df", "n").distinct()
     return pairs.where(slip("t", "good")).groupBy("kind", "t").agg(F.max_by("good", F.struct("df", "n", "good")).alias("good"))
 
 
 def canonical_tokens(strings: DataFrame, common: dict[str, int]) -> DataFrame:
-    """strings with kind, nick and tokens rewritten: (name, n, dins, kind, nick, toks: place, t, form, legal, last)."""
+    """strings with kind, nick and tokens rewritten: (name, n, din, kind, nick, toks: place, t, form, legal, last)."""
     table = cut_lineage(_token_table(strings, common))
     flat = table.select("name", "n", "kind", F.explode("tokens").alias("k")).select("name", "n", "kind", "k.*")
     fixed = flat.withColumn("raw", F.col("t"))
@@ -186,18 +209,18 @@ def canonical_tokens(strings: DataFrame, common: dict[str, int]) -> DataFrame:
     for step in range(2):
         fixes = cut_lineage(respellings(fixed))
         again = fixes.select("kind", F.col("t").alias("good"), F.col("good").alias("better"))  # a slip of a slip
-        fixes = fixes.join(again, ["kind", "good"], "left").select("kind", "t", F.coalesce("better", "good").alias("good"))
+        fixes = fixes.join(_grows(again), ["kind", "good"], "left").select("kind", "t", F.coalesce("better", "good").alias("good"))
         good = F.when(F.col("form") == FULL, F.coalesce("good", "t")).otherwise(F.col("t"))
-        fixed = fixed.join(fixes, ["kind", "t"], "left").withColumn("t", good).drop("good")
+        fixed = fixed.join(_grows(fixes), ["kind", "t"], "left").withColumn("t", good).drop("good")
         if step == 0:
             fixed = cut_lineage(fixed.withColumn("t", F.when(F.col("kind") == "person", one_sound(F.col("t"))).otherwise(F.col("t"))))
     size = F.max("place").over(Window.partitionBy("name"))
     fixed = cut_lineage(fixed.withColumn("size", size))
     last = fixed.where(f"form = {FULL}").groupBy("kind", "t").agg(
         F.avg((F.col("place") == F.col("size")).cast("double")).alias("last"), F.count_distinct("name").alias("df"))
-    words = fixed.join(last, ["kind", "t"], "left")
+    words = fixed.join(_grows(last), ["kind", "t"], "left")
     listed = words.groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("legal"), F.struct("place", "raw")))), lambda x: x["raw"]), "").alias("raw_run"), F.sort_array(F.collect_list(F.struct("place", "t", "form", "legal", F.coalesce("last", F.lit(0.0)).alias("last"), F.coalesce("df", F.lit(0)).alias("df")))).alias("toks"))
-    return table.select("name", "n", "dins", "kind", "nick").join(listed, "name", "left").where("toks is not null")
+    return table.select("name", "n", "din", "kind", "nick").join(_grows(listed), "name", "left").where("toks is not null")
 
 
 def _subsequence(a: str, b: str) -> bool:
@@ -243,16 +266,18 @@ def person_forms(toks: list[dict], nick: str | None) -> dict:
 _FORMS = "struct<words:string,run:string,size:int,given:string,gform:int,middle:array<string>,surname:string>"
 
 
-def name_groups(records: DataFrame) -> DataFrame:
+def name_groups(records: DataFrame, min_rarity: float = 1.0) -> DataFrame:
     """(name, root): strings of equal root name the same person or organisation; strings linked to no other are left out.
 
     Every string's rewritings are forms that equal strings share: for companies the sorted core words and the
     run-together letters, each without legal form; for persons given name, middle name and surname in full, without
-    middle name, with initials, with a familiar or cut given name. Strings meet by equi-join on forms. A form scores by
-    its rarity: a short form links only when a single fuller name has it, so that it can mean one person only. Equal
-    official numbers are one more form; full names with different numbers are different persons.
+    middle name, with initials, with a familiar or cut given name. Strings meet by equi-join on forms. A rewriting scores
+    by its rarity, one over the number of fuller names that have it, and links from min_rarity on: at 1 only where a short
+    form can mean one person. Equal official numbers are one more form; full names with different numbers are different
+    persons.
     """
-    strings = cut_lineage(name_strings(records))
+    strings, numbers = name_strings(records)
+    strings = cut_lineage(strings)
     common = company_words(strings)
     toks = cut_lineage(canonical_tokens(strings, common))
 
@@ -264,17 +289,17 @@ def name_groups(records: DataFrame) -> DataFrame:
             rows.append(empty | (company_forms(list(t), common) if k == "company" else person_forms(list(t), n)))
         return pd.DataFrame(rows, columns=list(empty))
 
-    f = cut_lineage(toks.withColumn("x", forms("kind", "toks", "nick")).select("name", "n", "dins", "kind", "nick", "raw_run", "x.*"))
-    as_written = f.where("length(raw_run) >= 8 and not contains(name, '(')").select(F.col("name").alias("src"), F.concat(F.lit("\x01q"), F.left("kind", F.lit(1)), "raw_run").alias("dst"))
-    edges = _company_links(f.where("kind = 'company' and run <> ''")).unionByName(_person_links(f.where("kind = 'person' and surname <> ''")))
-    by_number = f.where("size(dins) > 0").select(F.col("name").alias("src"), F.explode("dins").alias("d")).select("src", F.concat(F.lit("\x01d"), "d").alias("dst"))
-    return connected_groups(edges.unionByName(by_number).unionByName(as_written)).where(~F.col("id").startswith("\x01")).select(F.col("id").alias("name"), "root")
+    f = cut_lineage(toks.withColumn("x", forms("kind", "toks", "nick")).select("name", "n", "din", "kind", "nick", "raw_run", "x.*"))
+    as_written = f.where("length(raw_run) >= 8 and not contains(name, '(')").select(_vertex().alias("src"), F.concat(F.lit("q"), F.left("kind", F.lit(1)), "raw_run").alias("dst"))
+    edges = _company_links(f.where("kind = 'company' and run <> ''")).unionByName(_person_links(f.where("kind = 'person' and surname <> ''"), numbers, min_rarity))
+    by_number = numbers.select(_vertex().alias("src"), F.concat(F.lit("d"), "din").alias("dst"))
+    return connected_groups(edges.unionByName(by_number).unionByName(as_written)).where(F.col("id").startswith("n")).select(F.substring("id", 2, 1 << 30).alias("name"), "root")
 
 
 def _company_links(c: DataFrame) -> DataFrame:
     """Edges from strings to the vertices of their forms; run-together forms one slip apart are linked towards the commoner."""
-    words = c.where("size > 0").select(F.col("name").alias("src"), F.concat(F.lit("\x01w"), "words").alias("dst"))
-    run = c.select(F.col("name").alias("src"), F.concat(F.lit("\x01r"), "run").alias("dst"))
+    words = c.where("size > 0").select(_vertex().alias("src"), F.concat(F.lit("w"), "words").alias("dst"))
+    run = c.select(_vertex().alias("src"), F.concat(F.lit("r"), "run").alias("dst"))
     runs = cut_lineage(c.groupBy("run").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df")).where("length(run) >= 8"))
 
     @F.pandas_udf("array<string>")
@@ -286,24 +311,24 @@ def _company_links(c: DataFrame) -> DataFrame:
         return pd.Series([one_slip(x, y) for x, y in zip(a, b)])
 
     k = runs.withColumn("key", F.explode(cut("run")))
-    near = k.select("key", F.col("run").alias("a"), F.col("n").alias("an"), F.col("df").alias("adf")).join(k.select("key", F.col("run").alias("b"), F.col("n").alias("bn"), F.col("df").alias("bdf")), "key")
+    near = k.select("key", F.col("run").alias("a"), F.col("n").alias("an"), F.col("df").alias("adf")).join(_grows(k.select("key", F.col("run").alias("b"), F.col("n").alias("bn"), F.col("df").alias("bdf"))), "key")
     near = near.where(f"a <> b and ((adf <= 2 and (bn > an or (bn = an and a < b))) or (bdf >= adf and bn >= {RIGHT} * an))").select("a", "b").distinct().where(slip("a", "b"))
-    return words.unionByName(run).unionByName(near.select(F.concat(F.lit("\x01r"), "a").alias("src"), F.concat(F.lit("\x01r"), "b").alias("dst")))
+    return words.unionByName(run).unionByName(near.select(F.concat(F.lit("r"), "a").alias("src"), F.concat(F.lit("r"), "b").alias("dst")))
 
 
-def _nicknames(p: DataFrame) -> DataFrame:
+def _nicknames(p: DataFrame, numbers: DataFrame) -> DataFrame:
     """(given, other): familiar given names and the one full name each stands for.
 
     From quotes, equal official numbers, rare beginnings of common given names beside the same surname, and a fixed list.
     """
     quoted = p.where(f"nick is not null and gform = {FULL} and nick <> given").select(F.col("nick").alias("given"), F.col("given").alias("other"), F.lit(5).alias("w"))
-    one = p.where(f"gform = {FULL}").select(F.explode("dins").alias("d"), "surname", "given").distinct()
+    one = numbers.join(_grows(p.where(f"gform = {FULL}").select("name", "surname", "given")), "name").select(F.col("din").alias("d"), "surname", "given").distinct()
     common = p.where(f"gform = {FULL}").groupBy("given").agg(F.count(F.lit(1)).alias("df"))
-    pair = one.join(one.withColumnRenamed("given", "other"), ["d", "surname"]).where("given <> other").groupBy("given", "other").agg(F.count(F.lit(1)).alias("w"))
+    pair = one.join(_grows(one.withColumnRenamed("given", "other")), ["d", "surname"]).where("given <> other").groupBy("given", "other").agg(F.count(F.lit(1)).alias("w"))
     pair = pair.join(common, "given").join(common.withColumnRenamed("given", "other").withColumnRenamed("df", "odf"), "other").where("odf > df").select("given", "other", "w")
     # a rare given name that begins a common one of the same surname
     begun = p.where(f"gform = {FULL} and length(given) >= 3").select("surname", "given", F.left("given", F.lit(3)).alias("head")).distinct()
-    begun = begun.join(begun.withColumnRenamed("given", "other"), ["surname", "head"]).where("length(other) >= length(given) + 2 and startswith(other, given)").groupBy("given", "other").agg(F.count(F.lit(1)).alias("w"))
+    begun = begun.join(_grows(begun.withColumnRenamed("given", "other")), ["surname", "head"]).where("length(other) >= length(given) + 2 and startswith(other, given)").groupBy("given", "other").agg(F.count(F.lit(1)).alias("w"))
     begun = begun.join(common, "given").join(common.withColumnRenamed("given", "other").withColumnRenamed("df", "odf"), "other").where("odf >= 3 * df").select("given", "other", "w")
     fixed = p.sparkSession.createDataFrame([(a, b, 1) for a, b in NICKNAMES.items()], "given string, other string, w int").select(
         one_sound(F.col("given")).alias("given"), one_sound(F.col("other")).alias("other"), "w")
@@ -311,12 +336,12 @@ def _nicknames(p: DataFrame) -> DataFrame:
     return quoted.unionByName(pair).unionByName(begun).unionByName(fixed).groupBy("given", "other").agg(F.sum("w").alias("w")).groupBy("given").agg(F.max_by("other", F.struct("w", "other")).alias("other"))
 
 
-def _person_links(p: DataFrame) -> DataFrame:
-    p = skew_join_unique(p.drop("words", "run", "size", "raw_run"), cut_lineage(_nicknames(p)), "given", "left").withColumn(
+def _person_links(p: DataFrame, numbers: DataFrame, min_rarity: float) -> DataFrame:
+    p = skew_join_unique(p.drop("words", "run", "size", "raw_run"), cut_lineage(_nicknames(p, numbers)), "given", "left").withColumn(
         "given", F.when(F.col("gform") == FULL, F.coalesce("other", "given")).otherwise(F.col("given"))).drop("other")
     mid = F.element_at("middle", 1)
     p = p.withColumn("mid", F.when(F.size("middle") > 0, mid)).withColumn("mi", F.left("mid", F.lit(1))).withColumn(
-        "mid", F.when(F.length("mid") > 1, F.col("mid"))).withColumn("din", F.expr("case when size(dins) = 1 then dins[0] end"))
+        "mid", F.when(F.length("mid") > 1, F.col("mid")))
     p = cut_lineage(p.select("name", "given", "gform", "mid", "mi", "surname", "din"))
     # a surname broken in two: the last two words together are a commoner surname than the last alone
     known = cut_lineage(p.groupBy("surname").agg(F.count(F.lit(1)).alias("sdf")))
@@ -326,33 +351,49 @@ def _person_links(p: DataFrame) -> DataFrame:
     p = cut_lineage(q.select("name", "given", "gform", F.when(~F.col("broken"), F.col("mid")).alias("mid"), F.when(~F.col("broken"), F.col("mi")).alias("mi"), F.when(F.col("broken"), F.col("whole")).otherwise(F.col("surname")).alias("surname"), "din"))
     full = p.where(f"gform = {FULL}")
     gs = full.groupBy("given", "surname").agg(F.count_distinct("mid").alias("mids"), F.max("mid").alias("only"), F.count_distinct("din").alias("numbers"), F.count_distinct("mi").alias("mis"))
-    j = full.join(gs, ["given", "surname"])
+    j = full.join(_grows(gs), ["given", "surname"])
     sep = F.lit("\x02")
     one = F.expr("mids <= 1 and mis <= 1 and numbers <= 1")
     # middle names or numbers that differ make several persons of one given name and surname
     initial = full.where("mid is not null").groupBy("given", "surname", "mi").agg(F.count_distinct("mid").alias("k"), F.max("mid").alias("full_mid"))
-    j = j.join(initial, ["given", "surname", "mi"], "left")
+    j = j.join(_grows(initial), ["given", "surname", "mi"], "left")
     which = F.when(one, F.lit("")).when(F.col("mid").isNotNull(), F.col("mid")).when(F.col("mi").isNotNull(), F.when(F.col("k") == 1, F.col("full_mid")).otherwise(F.concat(F.lit("."), "mi"))).otherwise(
         F.when((F.col("mids") == 1) & (F.col("mis") <= 1) & (F.col("numbers") <= 1), F.col("only")).otherwise(F.lit("-")))
-    j = j.withColumn("node", F.concat(F.lit("\x01p"), "given", sep, which, sep, "surname")).withColumn(
+    j = j.withColumn("node", F.concat(F.lit("p"), "given", sep, which, sep, "surname")).withColumn(
         "kmi", F.coalesce(F.when(one, F.left("only", F.lit(1))), F.col("mi")))
     j = cut_lineage(j.select("name", "given", "surname", "node", "kmi", "din"))
-    links = j.select(F.col("name").alias("src"), F.col("node").alias("dst"))
+    links = j.select(_vertex().alias("src"), F.col("node").alias("dst"))
 
     # short given names: initial or cut, against the fuller names with that beginning and surname
     ways = F.explode(F.transform(F.array(F.lit(1), F.lit(3), F.lit(4), F.lit(5)), lambda k: F.struct(k.alias("k"), F.left(F.col("given"), k).alias("head"))))
     fuller = j.groupBy("node", "given", "surname").agg(F.max("kmi").alias("kmi"))
     fuller = fuller.select("node", "surname", "kmi", ways.alias("w")).select("node", "surname", "kmi", "w.head").distinct()
-    short = p.where(f"gform <> {FULL}").select("name", F.col("given").alias("head"), "mi", "surname")
-    cand = short.join(fuller, ["head", "surname"]).withColumn("fit", F.expr("case when mi is null then 1 when kmi = mi then 2 when kmi is null then 1 else 0 end")).where("fit > 0")
-    best = cand.groupBy("name").agg(F.max("fit").alias("fit"))
-    pick = cand.join(best, ["name", "fit"]).groupBy("name").agg(F.count_distinct("node").alias("k"), F.max("node").alias("node")).where("k = 1")
-    links = links.unionByName(pick.select(F.col("name").alias("src"), F.col("node").alias("dst")))
+    # counted by middle initial first, so that a short form meets a handful of rows, and each short form is decided once
+    fuller = fuller.groupBy("head", "surname", "kmi").agg(F.count(F.lit(1)).alias("k"), F.max("node").alias("node"))
+    short = cut_lineage(p.where(f"gform <> {FULL}").select("name", F.col("given").alias("head"), "mi", "surname").withColumn(
+        "key", F.concat("head", sep, F.coalesce("mi", F.lit("")), sep, "surname")))
+    met = short.select("key", "head", "mi", "surname").distinct().join(_grows(fuller), ["head", "surname"])
+    met = met.withColumn("fit", F.expr("case when mi is null then 1 when kmi = mi then 2 when kmi is null then 1 else 0 end")).where("fit > 0")
+    met = met.groupBy("key", "fit").agg(F.sum("k").alias("k"), F.max("node").alias("node"))
+    best = met.groupBy("key").agg(F.max_by(F.struct("k", "node"), "fit").alias("b")).select("key", (1 / F.col("b.k")).alias("rarity"), "b.node")
+    pick = skew_join_unique(short.select("name", "key"), best.where(F.col("rarity") >= min_rarity), "key")
+    links = links.unionByName(pick.select(_vertex().alias("src"), F.col("node").alias("dst")))
     # short strings that are the same in themselves
-    return links.unionByName(short.select(F.col("name").alias("src"), F.concat(F.lit("\x01s"), "head", sep, F.coalesce("mi", F.lit("")), sep, "surname").alias("dst")))
+    return links.unionByName(short.select(_vertex().alias("src"), F.concat(F.lit("s"), "key").alias("dst")))
+
+
+#: Members of a group that meet all others in one task.
+PART = 1000
 
 
 def same_pairs(groups: DataFrame) -> DataFrame:
-    """(name_a, name_b), name_a < name_b: all pairs of different strings of one group, the form TESTDATA.md fixes."""
-    a = groups.select("root", F.col("name").alias("name_a"))
-    return a.join(groups.select("root", F.col("name").alias("name_b")), "root").where("name_a < name_b").select("name_a", "name_b").distinct()
+    """(name_a, name_b), name_a < name_b: all pairs of different strings of one group, the form TESTDATA.md fixes.
+
+    The pairs of a group of more than PART strings are made in parts of it, so no task makes a large group's square.
+    """
+    groups = cut_lineage(groups.distinct())
+    sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("fan"))
+    sized = skew_join_unique(groups, sizes, "root")
+    a = sized.select("root", F.pmod(F.xxhash64("name"), F.col("fan")).cast("int").alias("part"), F.col("name").alias("name_a"))
+    b = sized.select("root", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"), F.col("name").alias("name_b"))
+    return a.join(_grows(b), ["root", "part"]).where("name_a < name_b").select("name_a", "name_b")

@@ -9,11 +9,12 @@ from ledgermill.session import table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors.survivor_fields(survivors.surviving_entities(table(spark, sf_dir, "entities")))
+    return survivors.survivor_fields(table(spark, sf_dir, "entities"))
 
 
 def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors.surviving_entities(table(spark, sf_dir, "entities"))
+    rows = table(spark, sf_dir, "entities")
+    return survivors.with_aliases(survivors.surviving_entities(rows), rows)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

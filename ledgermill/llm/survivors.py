@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ledgermill.llm.ocr import fold
+from ledgermill.operators.skew import skew_join_unique
 
 #: Fixed values that stand for a missing name.
 PLACEHOLDERS = ["", "-", "--", ".", "?", "N/A", "NA", "NIL", "NONE", "NULL", "UNKNOWN", "TBD", "SEE ABOVE", "NOT AVAILABLE", "AS ABOVE", "DITTO"]
@@ -16,6 +17,8 @@ LEGAL_FORMS = r"(?i)(?:\b(?:limited|llp|corporation|company|incorporated|plc)|\b
 #: Short forms of words in names.
 SHORT_FORMS = r"(?i)\b(?:pvt|ltd|limted|corp|corpn|inc|engg|mfg|svcs|hldgs|intl|secs|invts|inds|p)\b"
 SOURCE_TRUST = {"registry": 3, "manual": 2, "filing": 1, "ocr": 0}
+#: Trust of one place by recency of a name; more than an origin can have.
+NAME_WEIGHT = 8
 
 
 def tidy(col: Column) -> Column:
@@ -54,10 +57,11 @@ def intact_names(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     seen = rows.where("canonical_name is not null").select("entity_id", n.alias("s")).where(~is_placeholder(F.col("s")))
     seen = seen.unionByName(aliases.select("entity_id", F.col("alias").alias("s"))).distinct()
 
+    # in byte order all longer forms of a beginning follow it at once, so the next form tells whether there is one
     key = fold(F.regexp_replace("s", r"[^\p{L}\p{N}! ]", ""))
-    whole = seen.select("entity_id", key.alias("f")).distinct()
-    heads = whole.select("entity_id", F.explode(F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.length("f") - 1)), lambda i: F.substring(F.col("f"), F.lit(1), i))).alias("f"), F.length("f").alias("len"))
-    heads = heads.where(F.length("f") < F.col("len")).select("entity_id", "f").distinct()
+    whole = seen.select("entity_id", key.alias("f")).where("length(f) > 2").distinct()
+    following = F.lead("f").over(Window.partitionBy("entity_id").orderBy("f"))
+    heads = whole.withColumn("next", following).where(F.col("next").startswith(F.col("f"))).select("entity_id", "f")
 
     words = seen.select("entity_id", F.explode(F.split(F.lower("s"), r"[^\p{L}\p{N}!]+")).alias("w")).where(F.length("w") > 2)
     counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("f", fold(F.col("w")))
@@ -112,48 +116,60 @@ _CHOSEN = "struct<kind:string,canonical_name:string,name_row_id:bigint,source:st
 
 
 def surviving_entities(rows: DataFrame) -> DataFrame:
-    """One row per non-null entity_id: kind, canonical_name, name_row_id, source, updated_at, aliases (sorted array), n_rows.
-
-    Bundles: (kind, canonical_name) from one intact row, trusted by updated_at, and (kind, source, updated_at) from one
-    row, trusted by source; entity_id determines kind, so both bundles must agree on it. Only the most trusted candidate
-    of each kind can be part of a best combination, so the candidates of an entity are reduced to one per bundle and
-    kind by a map-side aggregation before any search: a huge group stays spread, and the search sees a handful. Ties in
-    trust go to the greatest row_id. No intact name: canonical_name null. Repeated rows count once in n_rows.
+    """One row per non-null entity_id: kind, canonical_name, name_row_id, source, updated_at, n_rows.
+
+    Bundles: the identity (kind, canonical_name) of one intact row and the origin (kind, source, updated_at) of one row;
+    entity_id determines kind, so both must agree on it. An identity's trust is NAME_WEIGHT times its place by recency
+    among the entity's identities, an origin's is its source's trust plus one where the row has aliases. NAME_WEIGHT is
+    more than any origin's trust, so the latest intact name with some origin of its kind always wins, as p3_found
+    asks, and the origin gives way. Only the latest candidate of a (kind, source) can be in a best choice, so an
+    entity's candidates are reduced to one each by a map-side aggregation before any search: a huge group stays spread, and
+    the search sees at most as many as there are kinds times sources. Ties go to the greatest row_id. No intact name:
+    canonical_name null. Repeated rows count once in n_rows. Aliases: see alias_rows.
     """
     base = rows.where("entity_id is not null").select("row_id", "entity_id", "kind", "canonical_name", "aliases_text", "source", "updated_at")
-    aliases = alias_rows(base)
     micros = F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(0))
-    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SOURCE_TRUST.items() for x in kv]), F.col("source")), F.lit(0))
+    source_trust = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SOURCE_TRUST.items() for x in kv]), F.col("source")), F.lit(0))
 
-    def candidates(df: DataFrame, trust: Column, value: Column, name: str) -> DataFrame:
+    def candidates(df: DataFrame, trust: Column, value: Column, by: list[str], name: str) -> DataFrame:
         c = F.struct(trust.cast("bigint").alias("trust"), "kind", value.alias("value"), "source", F.col("updated_at").cast("string").alias("updated_at"), F.col("row_id").cast("bigint").alias("row_id"))
-        top = df.groupBy("entity_id", "kind").agg(F.max_by(c, F.struct(trust, "updated_at", "row_id")).alias("c"))
+        top = df.groupBy("entity_id", *by).agg(F.max_by(c, F.struct(trust, micros, "row_id")).alias("c"))
         return top.groupBy("entity_id").agg(F.collect_list("c").alias(name))
 
-    identity = candidates(intact_names(base, aliases), micros * 8, F.col("canonical_name"), "identity")
-    origin = candidates(base, rank, F.col("source"), "origin")
+    identity = candidates(intact_names(base, alias_rows(base)), micros, F.col("canonical_name"), ["kind"], "identity")
+    has_aliases = F.coalesce(~is_placeholder(F.col("aliases_text")), F.lit(False)).cast("int")
+    origin = candidates(base, source_trust + has_aliases, F.col("source"), ["kind", "source"], "origin")
     count = base.groupBy("entity_id").agg(F.count_distinct("row_id").alias("n_rows"))
 
     @F.pandas_udf(_CHOSEN)
     def choose(identity: pd.Series, origin: pd.Series) -> pd.DataFrame:
         out = []
         for i, o in zip(identity, origin):
-            bundles = [[dict(c) | {"fixed": {"kind": c["kind"]}} for c in (x if x is not None else [])] for x in (i, o)]
-            found = best_combination(bundles) if bundles[0] else None
-            name, src = found if found else (None, max(bundles[1], key=lambda c: c["trust"]))
+            names, origins = ([dict(c) | {"fixed": {"kind": c["kind"]}} for c in (x if x is not None else [])] for x in (i, o))
+            for place, c in enumerate(sorted(names, key=lambda c: (c["trust"], c["row_id"])), 1):
+                c["trust"] = NAME_WEIGHT * place
+            name, src = best_combination([names, origins]) if names else (None, max(origins, key=lambda c: (c["trust"], c["row_id"])))
             out.append({
                 "kind": (name or src)["kind"], "canonical_name": name["value"] if name else None, "name_row_id": name["row_id"] if name else None,
                 "source": src["source"], "updated_at": src["updated_at"]})
         return pd.DataFrame(out, columns=["kind", "canonical_name", "name_row_id", "source", "updated_at"]).astype({"name_row_id": "Int64"})
 
     chosen = origin.join(identity, "entity_id", "left").select("entity_id", choose("identity", "origin").alias("s")).select("entity_id", "s.*")
-    listed = aliases.groupBy("entity_id").agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
+    return chosen.join(count, "entity_id")
+
+
+def with_aliases(survivors: DataFrame, rows: DataFrame) -> DataFrame:
+    """Survivors with aliases, the sorted array of an entity's distinct aliases: one value a row, as asked of a survivor."""
+    listed = alias_rows(rows.where("entity_id is not null")).groupBy("entity_id").agg(F.sort_array(F.collect_list("alias")).alias("aliases"))
     empty = F.array().cast(T.ArrayType(T.StringType()))
-    return chosen.join(count, "entity_id").join(listed, "entity_id", "left").withColumn("aliases", F.coalesce("aliases", empty))
+    return survivors.join(listed, "entity_id", "left").withColumn("aliases", F.coalesce("aliases", empty))
 
 
-def survivor_fields(survivors: DataFrame) -> DataFrame:
-    """(entity_id, field_name, best_value) of entities with two or more rows."""
-    many = survivors.where("n_rows > 1")
-    names = many.where("canonical_name is not null").select("entity_id", F.lit("canonical_name").alias("field_name"), F.col("canonical_name").alias("best_value"))
-    return names.unionByName(many.select("entity_id", F.lit("aliases_text").alias("field_name"), F.explode("aliases").alias("best_value")))
+def survivor_fields(rows: DataFrame) -> DataFrame:
+    """(entity_id, field_name, best_value) of entities with two or more rows; aliases stay rows, none is collected."""
+    names = surviving_entities(rows).where("n_rows > 1 and canonical_name is not null").select(
+        "entity_id", F.lit("canonical_name").alias("field_name"), F.col("canonical_name").alias("best_value"))
+    base = rows.where("entity_id is not null")
+    many = base.groupBy("entity_id").agg(F.min("row_id").alias("a"), F.max("row_id").alias("b")).where("a < b").select("entity_id")
+    aliases = skew_join_unique(alias_rows(base), many, "entity_id")
+    return names.unionByName(aliases.select("entity_id", F.lit("aliases_text").alias("field_name"), F.col("alias").alias("best_value")))

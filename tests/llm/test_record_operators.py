@@ -102,7 +102,7 @@ def test_survivors(spark):
         (8, "C:1", "company", "Firm Steel Limited", "Firm Steel", "manual", day(1)), (9, "C:1", "company", "Firm Steel Ltd", None, "manual", day(2)), (10, "C:1", "company", "Firm St", None, "ocr", day(3)),
         (11, "C:2", "company", "Alone Limited", "Alone", "manual", day(1)), (11, "C:2", "company", "Alone Limited", "Alone", "manual", day(1)), (12, None, "person", "No Id", None, "ocr", day(1))]
     df = spark.createDataFrame(rows, "row_id bigint, entity_id string, kind string, canonical_name string, aliases_text string, source string, updated_at timestamp")
-    got = {tuple(r) for r in survivors.survivor_fields(survivors.surviving_entities(df.selectExpr("*", "1 as trust", "2 as f"))).collect()}
+    got = {tuple(r) for r in survivors.survivor_fields(df.selectExpr("*", "1 as trust", "2 as f")).collect()}
     assert got == {("P:1", "canonical_name", "Asha Kumar Raosvi"), ("P:1", "aliases_text", "Asha Raosvi"), ("P:1", "aliases_text", "ASHA RAOSVI"), ("C:1", "canonical_name", "Firm Steel Limited"), ("C:1", "aliases_text", "Firm Steel")}
     assert survivors.surviving_entities(df.limit(0)).count() == 0
 
@@ -185,3 +185,27 @@ def test_cut_words_are_expanded_by_ratio():
     word = lambda t, df: {"t": t, "form": names.FULL, "legal": False, "df": df}
     assert company_forms([word("velaris", 9), word("manuf", 40)], {"manufacturing": 40 * RIGHT})["words"] == "manufacturing velaris"
     assert company_forms([word("velaris", 9), word("manuf", 40)], {"manufacturing": 40 * RIGHT - 1})["words"] == "manuf velaris"
+
+
+def test_any_string_may_be_an_id(spark):
+    odd = ["a\x1f1", "\x01p", "s0:v", "v", "m", "", " "]
+    rows = [(odd[i], odd[i + 1]) for i in range(0, 6)] + [("x", "y")]
+    got = grouped(components.connected_groups(spark.createDataFrame(rows, "src string, dst string")))
+    assert got == {frozenset(odd), frozenset(["x", "y"])}
+
+
+def test_pairs_of_a_large_group_are_made_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(names, "PART", 7)
+    rows = [(f"n{i:02d}", "big") for i in range(40)] + [("a", "s"), ("b", "s"), ("c", "alone")]
+    got = {tuple(r) for r in names.same_pairs(spark.createDataFrame(rows + rows[:5], "name string, root string")).collect()}
+    assert got == {(f"n{i:02d}", f"n{j:02d}") for i in range(40) for j in range(i + 1, 40)} | {("a", "b")}
+
+
+def test_beginnings_of_longer_names_are_cut_off(spark):
+    rows = [(1, "P:1", "person", "Asha Rao", None, "filing", datetime(2024, 3, 1)), (2, "P:1", "person", "Asha Raokar Singh", None, "ocr", datetime(2024, 1, 1)), (3, "P:1", "person", "Asha Ravi", None, "ocr", datetime(2024, 2, 1)),
+            (4, "P:2", "person", "Asha Rao", None, "filing", datetime(2024, 3, 1)), (5, "P:2", "person", None, "x|y| x", "manual", datetime(2024, 4, 1))]
+    df = spark.createDataFrame(rows, "row_id bigint, entity_id string, kind string, canonical_name string, aliases_text string, source string, updated_at timestamp")
+    got = {tuple(r) for r in survivors.survivor_fields(df).collect()}
+    assert got == {("P:1", "canonical_name", "Asha Ravi"), ("P:2", "canonical_name", "Asha Rao"), ("P:2", "aliases_text", "x"), ("P:2", "aliases_text", "y")}
+    one = {r.entity_id: r for r in survivors.with_aliases(survivors.surviving_entities(df), df).collect()}
+    assert one["P:2"].aliases == ["x", "y"] and one["P:2"].source == "manual" and one["P:1"].aliases == []
