@@ -7,12 +7,26 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ledgermill.session import cut_lineage
 
 
-def neighbours(edges: DataFrame, seeds: DataFrame, relations: list[str] | None = None) -> DataFrame:
-    """Edges touching a seed (id) in either direction, by two equi-joins, with seed and other; edges once per seed."""
+_SEEDED = ("Company", "Person", "AuditFirm")
+
+
+def neighbours(edges: DataFrame, seeds: DataFrame, relations: list[str] | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """Edges touching a seed (id) with seed and other, both directions, once a seed; other is not in excluded (id).
+
+    Seeds are companies, persons and audit firms, so a transaction is reached only from its parties. A reached
+    transaction's other party edges come along under the same seed, whatever party they name, with touches false.
+    """
     e = edges if relations is None else edges.where(F.col("rel").isin(*relations))
-    out = e.join(seeds.withColumnRenamed("id", "src_id"), "src_id").withColumn("seed", F.col("src_id")).withColumn("other", F.col("dst_id"))
-    back = e.join(seeds.withColumnRenamed("id", "dst_id"), "dst_id").withColumn("seed", F.col("dst_id")).withColumn("other", F.col("src_id"))
-    return out.unionByName(back).dropDuplicates(["edge_id", "seed"])
+    ends = F.array(F.struct(F.col("src_id").alias("seed"), F.col("src_type").alias("seed_type"), F.col("dst_id").alias("other")), F.struct(F.col("dst_id").alias("seed"), F.col("dst_type").alias("seed_type"), F.col("src_id").alias("other")))
+    by_end = e.withColumn("x", F.explode(ends)).select(*e.columns, "x.*").where(F.col("seed_type").isin(*_SEEDED)).drop("seed_type")
+    near = by_end.join(seeds.select(F.col("id").alias("seed")).distinct(), "seed", "left_semi")
+    if excluded is not None:
+        near = near.join(excluded.select(F.col("id").alias("other")).distinct(), "other", "left_anti")
+    near = near.withColumn("touches", F.lit(True))
+    reached = near.where("rel = 'PARTY_TO'").select("seed", F.col("dst_id").alias("txn")).distinct()
+    parties = e.where("rel = 'PARTY_TO'").join(reached, F.col("dst_id") == F.col("txn")).select(*e.columns, F.col("seed"), F.col("src_id").alias("other"), F.lit(False).alias("touches"))
+    both = near.select(*e.columns, "seed", "other", "touches").unionByName(parties)
+    return both.groupBy(*e.columns, "seed").agg(F.max_by("other", "touches").alias("other"), F.max("touches").alias("touches"))
 
 
 def filter_years(edges: DataFrame, years: list[str]) -> DataFrame:
@@ -23,9 +37,14 @@ def filter_years(edges: DataFrame, years: list[str]) -> DataFrame:
 
 
 def cap_per_seed(touching: DataFrame, fanout: int) -> DataFrame:
-    """The newest `fanout` edges of each seed, by (fiscal_year, edge_id) falling; the limit is the operator's purpose."""
+    """The newest `fanout` edges of each seed, by (fiscal_year, edge_id) falling; the limit is the operator's purpose.
+
+    Party edges that touch no seed take no place; they stay where another edge of their transaction stays.
+    """
     w = Window.partitionBy("seed").orderBy(F.coalesce("fiscal_year", F.lit("")).desc(), F.col("edge_id").desc())
-    return touching.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= fanout).drop("__k")
+    kept = touching.where("touches").withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= fanout).drop("__k")
+    txns = kept.where("rel = 'PARTY_TO'").select("dst_id", "seed").distinct()
+    return kept.unionByName(touching.where("not touches").join(txns, ["dst_id", "seed"], "left_semi").select(*kept.columns))
 
 
 def degrees(merge_log: DataFrame) -> DataFrame:
@@ -45,23 +64,71 @@ def shared_by_all(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return hit.join(F.broadcast(n), F.col("n_shared") == F.col("__n")).drop("__n")
 
 
-def two_hops(edges: DataFrame, seeds: DataFrame, hub_ids: DataFrame, fanout: tuple[int, int] = (50, 15)) -> DataFrame:
-    """Edges of one and two hops with their least hop; the second starts from ends that are neither seeds nor hubs."""
-    first = cap_per_seed(neighbours(edges, seeds), fanout[0])
-    frontier = first.select(F.col("other").alias("id")).distinct().join(seeds, "id", "left_anti").join(hub_ids.select(F.col("entity_id").alias("id")), "id", "left_anti")
-    second = cap_per_seed(neighbours(edges, frontier), fanout[1])
+def frontier(first: DataFrame, seeds: DataFrame, hub_ids: DataFrame, limit: int = 100) -> DataFrame:
+    """(id) worth a second hop: companies, persons and audit firms that are neither seeds nor hubs; the first `limit` by id,
+    the operator's purpose."""
+    ends = first.select(F.explode(F.array(F.struct(F.col("src_id").alias("id"), F.col("src_type").alias("t")), F.struct(F.col("dst_id").alias("id"), F.col("dst_type").alias("t")))).alias("x")).select("x.*")
+    ids = ends.where(F.col("t").isin(*_SEEDED)).select("id").distinct()
+    return ids.join(seeds.select("id"), "id", "left_anti").join(hub_ids.select(F.col("entity_id").alias("id")), "id", "left_anti").orderBy("id").limit(limit)
+
+
+def two_hops(edges: DataFrame, seeds: DataFrame, hub_ids: DataFrame, relations: tuple[list[str], list[str]] | None = None, years: list[str] = (), fanout: tuple[int, int] = (50, 15), limit: int = 100) -> DataFrame:
+    """Edges of one and two hops with their least hop; relations are those of either hop.
+
+    A second hop starts from the frontier and enters no hub. The edges are written once and read by both hops.
+    """
+    one, two = relations if relations else (None, None)
+    edges = cut_lineage(edges)
+    first = cut_lineage(cap_per_seed(filter_years(neighbours(edges, seeds, one), list(years)), fanout[0]))
+    start = frontier(first, seeds, hub_ids, limit)
+    second = cap_per_seed(filter_years(neighbours(edges, start, two, hub_ids.select(F.col("entity_id").alias("id"))), list(years)), fanout[1])
     cols = ["edge_id", "rel", "src_id", "dst_id", "fiscal_year"]
     both = first.select(*cols, F.lit(1).alias("hop")).unionByName(second.select(*cols, F.lit(2).alias("hop")))
     return both.groupBy(*cols).agg(F.min("hop").alias("hop"))
 
 
+def neighbour_triples(edges: DataFrame, seeds: DataFrame, hops: int = 1, fiscal_year: str = "") -> DataFrame:
+    """(triple): 'start|relation|end' strings of one or two hops in both directions; a year restricts directors and transactions."""
+    dated = (F.col("fiscal_year") == fiscal_year) | ~F.col("rel").isin("DIRECTOR_OF", "PARTY_TO") if fiscal_year else F.lit(True)
+    e = edges.where(dated).select("rel", F.explode(F.array(F.struct(F.col("src_id").alias("a"), F.col("dst_id").alias("b")), F.struct(F.col("dst_id").alias("a"), F.col("src_id").alias("b")))).alias("x")).select("rel", "x.*").distinct()
+    triple = F.concat_ws("|", "a", "rel", "b").alias("triple")
+    first = e.join(seeds.select(F.col("id").alias("a")).distinct(), "a", "left_semi")
+    out = first.select(triple)
+    if hops == 2:
+        out = out.unionByName(e.join(first.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select(triple))
+    return out.distinct()
+
+
+def stake_totals(edges: DataFrame) -> DataFrame:
+    """(company_id, pledged_pct): sum over a company's outgoing HOLDS_STAKE edges."""
+    return edges.where("rel = 'HOLDS_STAKE'").groupBy(F.col("src_id").alias("company_id")).agg(F.sum("pledged_pct").alias("pledged_pct"))
+
+
+def sub_graph(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Fact edges of the asked ids (edge_id), with the transaction's fields."""
+    return edges.where("rel in ('DIRECTOR_OF', 'PARTY_TO', 'AUDITED_BY', 'SUBSIDIARY_OF')").join(ids.select("edge_id").distinct(), "edge_id", "left_semi")
+
+
+def seeds_of(linked: DataFrame, companies: DataFrame) -> DataFrame:
+    """(id): the linked entities (entity_id, kind); a sector stands for its companies (company_id, sector)."""
+    members = linked.where("kind = 'sector'").join(companies.where("company_id is not null"), F.col("entity_id") == F.col("sector")).select(F.concat(F.lit("C:"), "company_id").alias("id"))
+    return linked.where("kind is null or kind <> 'sector'").where("entity_id <> ''").select(F.col("entity_id").alias("id")).unionByName(members).distinct()
+
+
+def entity_labels(entities: DataFrame) -> DataFrame:
+    """(entity_id, name, kind): one name and kind an entity, of its latest row with a name."""
+    named = entities.where("entity_id is not null and canonical_name is not null")
+    return named.groupBy("entity_id").agg(F.max(F.struct("updated_at", "row_id", "canonical_name", "kind")).alias("x")).select("entity_id", F.col("x.canonical_name").alias("name"), "x.kind")
+
+
 def distances(edges: DataFrame, sources: DataFrame, max_hops: int = 3) -> DataFrame:
     """(id, hops): breadth-first distance from the sources (id), both directions, up to max_hops.
 
     One level a round; each vertex is visited once, as the visited are taken out of the frontier. Stops when no
     vertex is new.
     """
-    both = edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")).unionByName(edges.select(F.col("dst_id").alias("a"), F.col("src_id").alias("b"))).distinct()
+    ends = F.array(F.struct(F.col("src_id").alias("a"), F.col("dst_id").alias("b")), F.struct(F.col("dst_id").alias("a"), F.col("src_id").alias("b")))
+    both = cut_lineage(edges.select(F.explode(ends).alias("x")).select("x.*").distinct())
     seen = sources.select("id").distinct().withColumn("hops", F.lit(0))
     frontier = seen
     for hop in range(1, max_hops + 1):

@@ -26,30 +26,34 @@ def query(sql: str | None = None):
 
 
 def edges_of(spark: SparkSession, d: str) -> DataFrame:
-    return R.graph_edges(table(spark, d, "records"), table(spark, d, "merge_log"))
+    return R.graph_edges(*[table(spark, d, t) for t in ("records", "merge_log", "filings", "entities")])
 
 
 # SQL shared by the graph queries -----------------------------------------------------------------------------------
 
 _LINKS = """links AS (SELECT mention_id, entity_id FROM (SELECT mention_id, entity_id, row_number() OVER (PARTITION BY mention_id ORDER BY logged_at DESC NULLS LAST, log_id DESC NULLS LAST, entity_id DESC NULLS LAST) AS k
-  FROM merge_log WHERE mention_id IS NOT NULL) WHERE k = 1 AND entity_id IS NOT NULL),
-acc AS (SELECT DISTINCT record_id, record_type, doc_id, payload_json FROM records WHERE status IN ('accepted', 'fixed')),
-ends AS (SELECT split_part(mention_id, ':', 1) AS record_id, split_part(mention_id, ':', 2) AS part, entity_id FROM links)"""
-_EDGES = f"""WITH RECURSIVE {_LINKS},
+  FROM merge_log WHERE mention_id IS NOT NULL) WHERE k = 1 AND entity_id IS NOT NULL)"""
+_LAST = """lastrec AS (SELECT * FROM (SELECT record_id, loaded_at, status, doc_id, record_type, payload_json, row_number() OVER (PARTITION BY record_id
+  ORDER BY loaded_at DESC NULLS LAST, status DESC NULLS LAST, doc_id DESC NULLS LAST, record_type DESC NULLS LAST, payload_json DESC NULLS LAST) AS k FROM records WHERE record_id IS NOT NULL) WHERE k = 1),
+acc AS (SELECT * FROM lastrec WHERE status IN ('accepted', 'fixed')),
+fil AS (SELECT doc_id, max(company_id) AS company_id, max(fiscal_year) AS filing_year FROM filings WHERE doc_id IS NOT NULL GROUP BY doc_id)"""
+_EDGES = f"""WITH RECURSIVE {_LINKS}, {_LAST},
+ends AS (SELECT split_part(mention_id, ':', 1) AS record_id, max(entity_id) FILTER (split_part(mention_id, ':', 2) = 'person') AS person, max(entity_id) FILTER (split_part(mention_id, ':', 2) = 'context_company') AS ctx,
+  max(entity_id) FILTER (split_part(mention_id, ':', 2) = 'counterparty') AS cp, max(entity_id) FILTER (split_part(mention_id, ':', 2) = 'audit_firm') AS firm, max(entity_id) FILTER (split_part(mention_id, ':', 2) = 'subsidiary') AS sub FROM links GROUP BY 1),
+kinds AS (SELECT entity_id, max(kind) AS kind FROM entities GROUP BY 1),
+j AS (SELECT a.record_id, a.record_type AS t, a.doc_id, a.payload_json AS p, f.filing_year, e.person, e.ctx, e.cp, e.firm, e.sub, k.kind, coalesce(CAST(a.payload_json->>'$.evidence.page' AS INT), 0) AS page, coalesce(a.payload_json->>'$.evidence.quote', '') AS quote,
+  coalesce(nullif(a.payload_json->>'$.fiscal_year', ''), f.filing_year, '') AS fy FROM acc a JOIN fil f USING (doc_id) JOIN ends e USING (record_id) LEFT JOIN kinds k ON k.entity_id = e.cp),
 two AS (
-  SELECT DISTINCT 'DIRECTOR_OF' AS rel, a.record_id, s.entity_id AS src_id, t.entity_id AS dst_id, a.payload_json->>'$.role' AS role, a.payload_json->>'$.fiscal_year' AS fiscal_year, a.doc_id, CAST(a.payload_json->>'$.evidence.page' AS INT) AS page, NULL AS amount
-  FROM acc a JOIN ends s ON a.record_id = s.record_id AND s.part = 'person' JOIN ends t ON a.record_id = t.record_id AND t.part = 'context_company' WHERE a.record_type = 'directors'
-  UNION ALL SELECT DISTINCT 'AUDITED_BY', a.record_id, s.entity_id, t.entity_id, NULL, a.payload_json->>'$.fiscal_year', a.doc_id, CAST(a.payload_json->>'$.evidence.page' AS INT), NULL
-  FROM acc a JOIN ends s ON a.record_id = s.record_id AND s.part = 'context_company' JOIN ends t ON a.record_id = t.record_id AND t.part = 'audit_firm' WHERE a.record_type = 'auditor'
-  UNION ALL SELECT DISTINCT 'SUBSIDIARY_OF', a.record_id, s.entity_id, t.entity_id, NULL, NULL, a.doc_id, CAST(a.payload_json->>'$.evidence.page' AS INT), NULL
-  FROM acc a JOIN ends s ON a.record_id = s.record_id AND s.part = 'subsidiary' JOIN ends t ON a.record_id = t.record_id AND t.part = 'context_company' WHERE a.record_type = 'subsidiaries'
-  UNION ALL SELECT DISTINCT 'RPT', a.record_id, s.entity_id, t.entity_id, NULL, a.payload_json->>'$.fiscal_year', a.doc_id, CAST(a.payload_json->>'$.evidence.page' AS INT), a.payload_json->>'$.amount_inr'
-  FROM acc a JOIN ends s ON a.record_id = s.record_id AND s.part = 'context_company' JOIN ends t ON a.record_id = t.record_id AND t.part = 'counterparty' WHERE a.record_type = 'rpt'),
-fact AS (SELECT left(sha256(concat_ws(':', rel, record_id, src_id, dst_id)), 16) AS edge_id, * FROM two),
-sided AS (SELECT concat('T:', edge_id) AS txn, fiscal_year, doc_id, page, 'reporting' AS role, src_id AS party FROM fact WHERE rel = 'RPT'
-  UNION ALL SELECT concat('T:', edge_id), fiscal_year, doc_id, page, 'counterparty', dst_id FROM fact WHERE rel = 'RPT'),
-edges AS (SELECT edge_id, rel, src_id, dst_id, role, fiscal_year, doc_id, page FROM fact WHERE rel <> 'RPT'
-  UNION ALL SELECT left(sha256(concat_ws(':', txn, role, party)), 16), 'PARTY_TO', party, txn, role, fiscal_year, doc_id, page FROM sided)"""
+  SELECT 'DIRECTOR_OF' AS rel, record_id || ':DIRECTOR_OF' AS key, person AS src_id, 'Person' AS src_type, ctx AS dst_id, 'Company' AS dst_type, p->>'$.role' AS role, fy AS yr, j.* FROM j WHERE t = 'directors'
+  UNION ALL SELECT 'AUDITED_BY', record_id || ':AUDITED_BY', ctx, 'Company', firm, 'AuditFirm', NULL, fy, j.* FROM j WHERE t = 'auditor'
+  UNION ALL SELECT 'SUBSIDIARY_OF', record_id || ':SUBSIDIARY_OF', sub, 'Company', ctx, 'Company', NULL, '', j.* FROM j WHERE t = 'subsidiaries'
+  UNION ALL SELECT 'PARTY_TO', record_id || ':PARTY_TO:reporting', ctx, 'Company', left(sha256(record_id), 16), 'RelatedPartyTxn', 'reporting', fy, j.* FROM j WHERE t = 'rpt' AND cp IS NOT NULL AND ctx IS NOT NULL
+  UNION ALL SELECT 'PARTY_TO', record_id || ':PARTY_TO:counterparty', cp, CASE WHEN kind = 'person' THEN 'Person' ELSE 'Company' END, left(sha256(record_id), 16), 'RelatedPartyTxn', 'counterparty', fy, j.* FROM j WHERE t = 'rpt' AND cp IS NOT NULL AND ctx IS NOT NULL AND coalesce(kind, '') <> 'audit_firm'),
+edges AS (SELECT left(sha256(key), 16) AS edge_id, rel, src_id, src_type, dst_id, dst_type, role,
+  CASE WHEN t = 'directors' THEN coalesce(CAST(p->>'$.is_independent' AS BOOLEAN), false) END AS independent, CASE WHEN t = 'directors' THEN coalesce(p->>'$.appointed_on', '') END AS start_date, CASE WHEN t = 'directors' THEN coalesce(p->>'$.ceased_on', '') END AS end_date,
+  yr AS fiscal_year, CASE WHEN t = 'subsidiaries' THEN coalesce(CAST(p->>'$.pct_held' AS DOUBLE), 0) END AS pct_held, CASE WHEN t = 'subsidiaries' THEN coalesce(p->>'$.as_of', '') END AS as_of, doc_id, page, quote,
+  CASE WHEN t = 'rpt' THEN coalesce(CAST(p->>'$.amount_inr' AS DOUBLE), 0) END AS amount_inr, CASE WHEN t = 'rpt' THEN coalesce(p->>'$.nature', '') END AS nature, CASE WHEN t = 'rpt' THEN coalesce(p->>'$.relationship', '') END AS relationship
+  FROM two WHERE src_id IS NOT NULL AND dst_id IS NOT NULL)"""
 
 
 @query(_EDGES + " SELECT * FROM edges")
@@ -71,21 +75,79 @@ def _seeds(spark, d):
     return table(spark, d, "merge_log").where("entity_id like 'P:%'").groupBy("entity_id").count().where("count >= 5").select(F.col("entity_id").alias("id"))
 
 
-@query(_EDGES + f""", {_SEEDS}, near AS (SELECT e.*, s.id AS seed, e.dst_id AS other FROM edges e JOIN seeds s ON e.src_id = s.id
-  UNION SELECT e.*, s.id, e.src_id FROM edges e JOIN seeds s ON e.dst_id = s.id)
-  SELECT DISTINCT seed, other, edge_id, rel FROM near""")
+_NEAR = """touch AS (SELECT e.edge_id, e.rel, e.dst_id, e.fiscal_year, s.id AS seed, e.dst_id AS other FROM edges e JOIN seeds s ON e.src_id = s.id
+  UNION SELECT e.edge_id, e.rel, e.dst_id, e.fiscal_year, s.id, e.src_id FROM edges e JOIN seeds s ON e.dst_id = s.id AND e.dst_type <> 'RelatedPartyTxn'),
+  ride AS (SELECT DISTINCT e.edge_id, e.rel, e.dst_id, e.fiscal_year, t.seed, e.src_id AS other FROM edges e JOIN touch t ON e.rel = 'PARTY_TO' AND t.rel = 'PARTY_TO' AND e.dst_id = t.dst_id),
+  near AS (SELECT *, true AS touches FROM touch UNION ALL SELECT *, false FROM ride r WHERE NOT EXISTS (SELECT 1 FROM touch t WHERE t.edge_id = r.edge_id AND t.seed = r.seed))"""
+
+
+@query(_EDGES + f", {_SEEDS}, {_NEAR} SELECT DISTINCT seed, other, edge_id, rel, touches FROM near")
 def g1_expand_hop(spark, d):
-    """Edges of one hop in both directions."""
-    return graph.neighbours(edges_of(spark, d), _seeds(spark, d)).select("seed", "other", "edge_id", "rel")
+    """Edges of one hop in both directions, with the other parties of reached transactions."""
+    return graph.neighbours(edges_of(spark, d), _seeds(spark, d)).select("seed", "other", "edge_id", "rel", "touches")
 
 
-@query(_EDGES + f""", {_SEEDS}, near AS (SELECT DISTINCT e.edge_id, e.fiscal_year, s.id AS seed FROM edges e JOIN seeds s ON s.id IN (e.src_id, e.dst_id)),
-  k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY coalesce(fiscal_year, '') DESC, edge_id DESC) AS r FROM near) SELECT seed, edge_id FROM k WHERE r <= 3""")
+@query(_EDGES + f""", {_SEEDS}, {_NEAR}, k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY coalesce(fiscal_year, '') DESC, edge_id DESC) AS r FROM near WHERE touches),
+  kept AS (SELECT seed, edge_id, rel, dst_id FROM k WHERE r <= 3) SELECT seed, edge_id FROM kept UNION SELECT n.seed, n.edge_id FROM near n JOIN kept USING (seed, dst_id) WHERE NOT n.touches AND kept.rel = 'PARTY_TO'""")
 def g9_cap_per_seed(spark, d):
-    """G9."""
+    """Three edges a seed, the other parties of their transactions beside them."""
     return graph.cap_per_seed(graph.neighbours(edges_of(spark, d), _seeds(spark, d)), 3).select("seed", "edge_id")
 
 
+_TRIPLES = """dated AS (SELECT rel, src_id AS a, dst_id AS b FROM edges WHERE fiscal_year = 'FY2022-23' OR rel NOT IN ('DIRECTOR_OF', 'PARTY_TO')), both_ways AS (SELECT rel, a, b FROM dated UNION SELECT rel, b, a FROM dated),
+  h1 AS (SELECT * FROM both_ways WHERE a IN (SELECT id FROM seeds))"""
+
+
+@query(_EDGES + f", {_SEEDS}, {_TRIPLES} SELECT a || '|' || rel || '|' || b AS triple FROM h1 UNION SELECT a || '|' || rel || '|' || b FROM both_ways WHERE a IN (SELECT b FROM h1)")
+def g2_neighbour_triples(spark, d):
+    """Triples of two hops as strings, one fiscal year."""
+    return graph.neighbour_triples(edges_of(spark, d), _seeds(spark, d), 2, "FY2022-23")
+
+
+@query("""WITH s AS (SELECT DISTINCT 'C:x' || left(sha256(lower(payload_json->>'$.holder_name')), 8) AS company_id, doc_id, lower(payload_json->>'$.company_name') AS held, CAST(payload_json->>'$.pct_pledged_of_holding' AS DOUBLE) AS p
+  FROM records WHERE record_type = 'shareholding' AND status IN ('accepted', 'fixed') AND payload_json->>'$.holder_kind' = 'company' AND payload_json->>'$.holder_name' IS NOT NULL AND payload_json->>'$.company_name' IS NOT NULL)
+  SELECT company_id, round(sum(p), 6) AS pledged_pct FROM s GROUP BY 1""")
+def g5_stake_totals(spark, d):
+    """Pledged shares of company holders, summed over their outgoing HOLDS_STAKE edges."""
+    p = R.decoded(R.accepted(table(spark, d, "records")), "shareholding").where("p.holder_kind = 'company' and p.holder_name is not null and p.company_name is not null")
+    stake = p.select(F.lit("HOLDS_STAKE").alias("rel"), resolve.fallback_id(F.lit("company"), F.lower("p.holder_name")).alias("src_id"), "doc_id", F.lower("p.company_name").alias("dst_id"), F.col("p.pct_pledged_of_holding").alias("pledged_pct")).distinct()
+    return graph.stake_totals(stake).withColumn("pledged_pct", F.round("pledged_pct", 6))
+
+
+@query(_EDGES + """, asked AS (SELECT edge_id FROM edges WHERE page % 7 = 0 AND rel IN ('DIRECTOR_OF', 'PARTY_TO'))
+  SELECT edge_id, rel, src_id, dst_id, amount_inr, nature, relationship, fiscal_year FROM edges WHERE edge_id IN (SELECT edge_id FROM asked)""")
+def g7_sub_graph(spark, d):
+    """The edges of a list of edge ids, with their transactions' fields."""
+    e = edges_of(spark, d)
+    asked = e.where("page % 7 = 0 and rel in ('DIRECTOR_OF', 'PARTY_TO')").select("edge_id")
+    return graph.sub_graph(e, asked).select("edge_id", "rel", "src_id", "dst_id", "amount_inr", "nature", "relationship", "fiscal_year")
+
+
+@query(_EDGES + """, raw AS (SELECT CASE rel WHEN 'DIRECTOR_OF' THEN 'HAS_DIRECTOR' WHEN 'AUDITED_BY' THEN 'AUDITS' ELSE rel END AS rel, CASE WHEN rel IN ('DIRECTOR_OF', 'AUDITED_BY') THEN dst_id ELSE src_id END AS a, CASE WHEN rel IN ('DIRECTOR_OF', 'AUDITED_BY') THEN src_id ELSE dst_id END AS b FROM edges)
+  SELECT DISTINCT left(sha256(concat_ws(':', r, s, t)), 16) AS edge_id, r AS rel, s AS src_id, t AS dst_id FROM (SELECT CASE rel WHEN 'HAS_DIRECTOR' THEN 'DIRECTOR_OF' WHEN 'AUDITS' THEN 'AUDITED_BY' ELSE rel END AS r, CASE WHEN rel IN ('HAS_DIRECTOR', 'AUDITS') THEN b ELSE a END AS s, CASE WHEN rel IN ('HAS_DIRECTOR', 'AUDITS') THEN a ELSE b END AS t FROM raw)""")
+def g8_forward_edges(spark, d):
+    """Edges under reverse names and without ids, read forward again."""
+    e = edges_of(spark, d)
+    back = F.col("rel").isin("DIRECTOR_OF", "AUDITED_BY")
+    name = F.when(F.col("rel") == "DIRECTOR_OF", "HAS_DIRECTOR").when(F.col("rel") == "AUDITED_BY", "AUDITS").otherwise(F.col("rel"))
+    swap = lambda a, b: F.when(back, F.col(b)).otherwise(F.col(a)).alias(a)
+    raw = e.select(F.lit("").alias("edge_id"), name.alias("rel"), swap("src_id", "dst_id"), swap("src_type", "dst_type"), swap("dst_id", "src_id"), swap("dst_type", "src_type"))
+    return R.forward_edges(raw).select("edge_id", "rel", "src_id", "dst_id")
+
+
+@query("""WITH n AS (SELECT entity_id, canonical_name, kind, row_number() OVER (PARTITION BY entity_id ORDER BY updated_at DESC NULLS LAST, row_id DESC, canonical_name DESC, kind DESC NULLS LAST) AS k FROM entities WHERE entity_id IS NOT NULL AND canonical_name IS NOT NULL)
+  SELECT entity_id, canonical_name AS name, kind, CASE left(entity_id, 2) WHEN 'C:' THEN 'Company' WHEN 'P:' THEN 'Person' WHEN 'A:' THEN 'AuditFirm' END AS vertex_type FROM n WHERE k = 1""")
+def g20_entity_labels(spark, d):
+    """Name, kind and vertex type of every entity."""
+    return graph.entity_labels(table(spark, d, "entities")).withColumn("vertex_type", R.vertex_type(F.col("entity_id")))
+
+
+@query("SELECT DISTINCT 'HAS_CHUNK' AS rel, doc_id AS src_id, chunk_id AS dst_id FROM chunks WHERE doc_id IS NOT NULL AND chunk_id IS NOT NULL")
+def k8_chunk_edges(spark, d):
+    """K8: HAS_CHUNK."""
+    return R.chunk_edges(table(spark, d, "chunks"))
+
+
 @query(_EDGES + ", y AS (SELECT * FROM edges WHERE fiscal_year IS NULL OR fiscal_year = '' OR fiscal_year IN ('FY2022-23', 'FY2023-24')) SELECT rel, fiscal_year, count(*) AS n FROM y GROUP BY rel, fiscal_year")
 def f5_years_keep_yearless(spark, d):
     """F5."""
@@ -116,10 +178,10 @@ def g15_hubs(spark, d):
     return graph.hubs(graph.degrees(table(spark, d, "merge_log")))
 
 
-@query(_EDGES + " SELECT dst_id AS txn, count(DISTINCT edge_id) AS n_parties FROM edges WHERE rel = 'PARTY_TO' GROUP BY dst_id HAVING count(DISTINCT edge_id) < 2")
+@query(_EDGES + " SELECT dst_id AS txn, count(DISTINCT edge_id) AS n_parties FROM edges WHERE rel = 'PARTY_TO' AND fiscal_year = 'FY2022-23' AND src_type = 'Company' GROUP BY dst_id HAVING count(DISTINCT edge_id) < 2")
 def g12_incomplete_transactions(spark, d):
-    """G12."""
-    return graph.incomplete_transactions(edges_of(spark, d))
+    """Transactions of a year of which only one party is a company."""
+    return graph.incomplete_transactions(edges_of(spark, d).where("fiscal_year = 'FY2022-23' and src_type = 'Company'"))
 
 
 @query()
@@ -140,13 +202,16 @@ def f1_accepted_records(spark, d):
     return R.accepted(table(spark, d, "records")).groupBy("record_type", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT record_id, CASE WHEN rej IS NOT NULL THEN 'rejected' WHEN rev IS NOT NULL THEN 'review' ELSE 'accepted' END AS verdict, coalesce(rej, rev) AS reason FROM (
-  SELECT record_id, CASE WHEN coalesce(trim(n), '') = '' THEN 'no name' WHEN regexp_matches(lower(n), '\\b(director|chairman|secretary|officer|auditor|committee)\\b') AND len(regexp_split_to_array(trim(n), '\\s+')) <= 3 THEN 'role as name' END AS rej,
-    CASE WHEN c < a THEN 'dates out of order' WHEN din IS NOT NULL AND NOT regexp_full_match(din, '\\d{8}') THEN 'bad din' END AS rev
-  FROM (SELECT record_id, payload_json->>'$.person_name' AS n, payload_json->>'$.din' AS din, payload_json->>'$.appointed_on' AS a, payload_json->>'$.ceased_on' AS c FROM records WHERE record_type = 'directors'))""")
-def f7_validate_directors(spark, d):
-    """F7."""
-    return R.validate_directors(R.decoded(table(spark, d, "records"), "directors"))
+@query("""WITH p AS (SELECT record_id, record_type AS t, payload_json AS j, coalesce(CAST(payload_json->>'$.pct_holding' AS DOUBLE), CAST(payload_json->>'$.pct_held' AS DOUBLE)) AS pct, CAST(payload_json->>'$.pct_pledged_of_holding' AS DOUBLE) AS pl, CAST(payload_json->>'$.amount_inr' AS DOUBLE) AS a,
+    TRY_CAST(payload_json->>'$.appointed_on' AS DATE) AS d1, TRY_CAST(payload_json->>'$.ceased_on' AS DATE) AS d2, TRY_CAST(regexp_extract(payload_json->>'$.fiscal_year', '(20[0-9]{2})', 1) AS INT) AS y, regexp_extract_all(lower(payload_json->>'$.person_name'), '[a-z]+') AS w FROM records),
+  b AS (SELECT *, CASE t WHEN 'directors' THEN ['person_name', 'company_name'] WHEN 'shareholding' THEN ['holder_name', 'company_name'] WHEN 'rpt' THEN ['counterparty_name'] WHEN 'auditor' THEN ['company_name'] WHEN 'subsidiaries' THEN ['parent_company', 'subsidiary_name'] ELSE [] END AS need FROM p),
+  v AS (SELECT record_id, j, CASE WHEN coalesce(json_type(j, '$.evidence'), 'NULL') = 'NULL' THEN 'missing_evidence' WHEN len(list_filter(need, lambda x: coalesce(trim(json_extract_string(j, '$.' || x)), '') = '')) > 0 THEN 'empty_name'
+    WHEN t = 'directors' AND len(w) <= 3 AND list_has_any(w, ['chairman', 'chairperson', 'secretary', 'director', 'manager', 'ceo', 'cfo', 'officer']) THEN 'name_is_role' WHEN pct < 0 OR pct > 100 THEN 'pct_out_of_range' WHEN a < 0 THEN 'amount_negative' END AS rej,
+    CASE WHEN a > 1e12 THEN 'amount_outlier' WHEN t = 'directors' AND (abs(year(d1) - y) > 2 OR abs(year(d2) - y) > 2) THEN 'date_implausible' WHEN d1 > d2 THEN 'date_order_invalid' WHEN pl < 0 OR pl > 100 THEN 'pledge_out_of_range' END AS rev FROM b)
+  SELECT record_id, CASE WHEN regexp_full_match(json_extract_string(j, '$.din'), '[0-9]{8}') THEN json_extract_string(j, '$.din') END AS din, CASE WHEN rej IS NOT NULL THEN 'rejected' WHEN rev IS NOT NULL THEN 'review' ELSE 'accepted' END AS verdict, coalesce(rej, rev, '') AS reason FROM v""")
+def f7_validated_records(spark, d):
+    """the ten rules on all six record types."""
+    return R.validated(table(spark, d, "records"))
 
 
 @query("SELECT * EXCLUDE k FROM (SELECT record_id, status, loaded_at, row_number() OVER (PARTITION BY record_id ORDER BY loaded_at DESC NULLS LAST, status DESC NULLS LAST) AS k FROM (SELECT record_id, status, loaded_at FROM records)) WHERE k = 1")
@@ -330,10 +395,10 @@ _BM25 = f"""d AS (SELECT chunk_id AS doc_id, max(text) AS text FROM chunks WHERE
   rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc WHERE score > 0)"""
 
 
-@query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 8")
+@query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM rk WHERE rank <= 8")
 def w2_bm25(spark, d):
     """The eight best chunks of every question."""
-    return retrieval.bm25(_chunk_texts(spark, d), _questions(spark, d), 8).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("bigint"))
+    return retrieval.bm25(_chunk_texts(spark, d), _questions(spark, d), 8).withColumn("score", F.round("score", 4)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def _vector_hits(spark, d, k):
