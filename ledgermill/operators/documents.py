@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgermill.functions.text import estimate_tokens, normalize_ascii
+from ledgermill.functions.text import composed, estimate_tokens, normalize_ascii, straight
 
-#: Section kind -> words that open it.
+#: Section kind -> words that open it, and how many more pages it may have.
 SECTION_WORDS = {
-    "board_report": "board's report", "governance": "report on corporate governance", "related_party": "related party disclosures",
-    "loans": "particulars of loans and guarantees", "notes": "notes to accounts",
+    "governance": ["report on corporate governance", "corporate governance report"],
+    "board_report": ["directors' report", "board's report"],
+    "auditor": ["independent auditor's report", "auditors' report"],
+    "related_party": ["related party disclosures", "related party transactions"],
+    "subsidiaries": ["subsidiaries, associates and joint ventures", "statement containing salient features of the financial statement of subsidiaries"],
+    "shareholding": ["shareholding pattern", "distribution of shareholding", "shareholding of promoters"],
 }
+SECTION_LENGTHS = {"governance": 40, "board_report": 50, "auditor": 20, "related_party": 20, "subsidiaries": 15, "shareholding": 10}
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
@@ -30,15 +36,27 @@ def repeated_edges(pages: DataFrame, share: float = 0.6) -> DataFrame:
     return hits.join(total, "doc_id").where(F.col("k") >= share * F.col("n_pages")).select("doc_id", "line", F.col("k").alias("n_hits"), "n_pages")
 
 
-def sections(pages: DataFrame, max_length: int = 30) -> DataFrame:
-    """(doc_id, kind, page_start, page_end): first page with a section's words, up to the next section or max_length more pages."""
+def sections(pages: DataFrame) -> DataFrame:
+    """(doc_id, kind, page_start, page_end): first page with a section's words, up to the next section's start or its longest length.
+
+    Related parties split into consolidated and standalone by the page's text. Sections that start on one page follow
+    each other in the order of SECTION_WORDS, and only the last of them ends before the next start.
+    """
     t = page_texts(pages).withColumn("norm", normalize_ascii(F.col("text")))
-    kinds = F.filter(F.array(*[F.when(F.col("norm").contains(w), F.lit(k)) for k, w in SECTION_WORDS.items()]), lambda x: x.isNotNull())
-    start = t.select("doc_id", "page_no", F.explode(kinds).alias("kind")).groupBy("doc_id", "kind").agg(F.min("page_no").alias("page_start"))
+    part = F.when(F.col("norm").contains("consolidated"), "related_party_consolidated").otherwise("related_party_standalone")
+
+    def kind(i: int, k: str) -> Column:
+        hit = F.lit(False)
+        for w in SECTION_WORDS[k]:
+            hit = hit | F.col("norm").contains(w)
+        return F.when(hit, F.struct(F.lit(i).alias("nth"), (part if k == "related_party" else F.lit(k)).alias("kind"), F.lit(SECTION_LENGTHS[k]).alias("most")))
+
+    kinds = F.filter(F.array(*[kind(i, k) for i, k in enumerate(SECTION_WORDS)]), lambda x: x.isNotNull())
+    start = t.select("doc_id", "page_no", F.explode(kinds).alias("k")).groupBy("doc_id", "k.nth", "k.kind", "k.most").agg(F.min("page_no").alias("page_start"))
     last = t.groupBy("doc_id").agg(F.max("page_no").alias("last_page"))
-    nxt = F.lead("page_start").over(Window.partitionBy("doc_id").orderBy("page_start", "kind"))
+    nxt = F.lead("page_start").over(Window.partitionBy("doc_id").orderBy("page_start", "nth", "kind"))
     s = start.withColumn("nxt", nxt).join(last, "doc_id")
-    return s.select("doc_id", "kind", "page_start", F.least(F.col("page_start") + max_length, F.when(F.col("nxt") > F.col("page_start"), F.col("nxt") - 1), F.col("last_page")).alias("page_end"))
+    return s.select("doc_id", "kind", "page_start", F.least(F.col("page_start") + F.col("most"), F.when(F.col("nxt") > F.col("page_start"), F.col("nxt") - 1), F.col("last_page")).alias("page_end"))
 
 
 def page_sections(pages: DataFrame, secs: DataFrame) -> DataFrame:
@@ -71,7 +89,34 @@ def phrase_mentions(chunks: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def page_windows(pages: DataFrame, max_tokens: int = 4000) -> DataFrame:
-    """(doc_id, page_no, window_no): windows of pages by summed tokens; window by the tokens before the page, so that sums need no fold."""
+    """(doc_id, window_no, page_no): windows of at most max_tokens where pages allow, each after the first with the page before it.
+
+    An ordered fold of the pages' numbers and token counts of one document; texts take no part in it.
+    """
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, window, used, before = [], 0, 0, None
+        for doc, page, tok in pdf.sort_values("page_no").itertuples(index=False):
+            if before is not None and used + tok > max_tokens:
+                window, used = window + 1, before[1]
+                out.append((doc, window, before[0]))
+            out.append((doc, window, page))
+            used, before = used + tok, (page, tok)
+        return pd.DataFrame(out, columns=["doc_id", "window_no", "page_no"])
+
     t = page_texts(pages).select("doc_id", "page_no", estimate_tokens(F.col("text")).alias("tok"))
-    before = F.coalesce(F.sum("tok").over(Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return t.select("doc_id", "page_no", F.floor(before / max_tokens).cast("int").alias("window_no"))
+    return t.groupBy("doc_id").applyInPandas(fold, "doc_id string, window_no int, page_no int")
+
+
+def cleaned_pages(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_no, text): pages without repeated edge lines, broken words joined, spaces and marks made plain.
+
+    A document has at most 4 / 0.6 repeated edge lines, as a page has four edges, so they travel as an array.
+    """
+    furniture = repeated_edges(pages).where("line <> ''").groupBy("doc_id").agg(F.collect_list("line").alias("furniture"))
+    t = page_texts(pages).join(furniture, "doc_id", "left")
+    bare = lambda x: F.regexp_replace(F.trim(x), "[0-9]+", "")
+    none = F.array().cast("array<string>")
+    lines = F.filter(F.split("text", "\r\n|\r|\n"), lambda x: ~F.array_contains(F.coalesce("furniture", none), bare(x)))
+    c = F.regexp_replace(F.array_join(lines, "\n"), r"-\n(?=[a-z])", "")
+    c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    return t.select("doc_id", "page_no", F.trim(straight(composed(c))).alias("text"))

@@ -68,10 +68,3 @@ def repeated_calls(log: DataFrame, request: str, call: str, order: list[str]) ->
     """Calls that a request has made before, by order."""
     w = Window.partitionBy(request, call).orderBy(*order)
     return log.withColumn("nth", F.row_number().over(w)).where("nth > 1")
-
-
-def leaders(scores: DataFrame, group: str, runner: str, value: str) -> DataFrame:
-    """(group, leader): the runner of the greatest mean; null at an exact tie."""
-    m = scores.groupBy(group, runner).agg(F.avg(value).alias("mean"))
-    top = m.groupBy(group).agg(F.max("mean").alias("mean"))
-    return m.join(top, [group, "mean"]).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(runner).alias("r")).select(group, F.when(F.col("n") == 1, F.col("r")).alias("leader"))

@@ -94,3 +94,22 @@ def salted_profile(
 def over_share(profile: DataFrame, total_rows: DataFrame, share: float) -> DataFrame:
     """Keys of a salted_profile that hold more than `share` of all rows; total_rows is a one-row table with column n."""
     return profile.join(F.broadcast(total_rows), F.col("n_rows") > F.col("n") * F.lit(share)).select("key_field", "key_value")
+
+
+#: Members of a group that meet all others in one task.
+PART = 1000
+
+
+def pairs_in_groups(df: DataFrame, key: str, columns: list[str], part: int | None = None) -> DataFrame:
+    """(c_a, c_b for each of columns): every pair of different rows of one key once, the smaller row first.
+
+    A group of more than `part` rows is made in parts of it, so no task makes a large group's square. Rows must be
+    distinct; a null key joins nothing.
+    """
+    rows = df.select(key, F.struct(*columns).alias("__x")).where(F.col(key).isNotNull())
+    fans = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / (part or PART)).cast("int").alias("__parts"))
+    sized = skew_join_unique(rows, fans, key)
+    a = sized.select(key, F.pmod(F.xxhash64("__x"), F.col("__parts")).cast("int").alias("__p"), F.col("__x").alias("__a"))
+    b = sized.select(key, F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__p"), F.col("__x").alias("__b"))
+    j = a.join(b.hint("merge"), [key, "__p"]).where(F.col("__a") < F.col("__b"))
+    return j.select(*[F.col(f"__{s}.{c}").alias(f"{c}_{s}") for s in ("a", "b") for c in columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgermill.functions import text as X
+from ledgermill.functions import answers, text as X
 from ledgermill.operators import documents, evaluation, graph, records as R, resolve, retrieval, statistics as S
 from ledgermill.operators.units import answer_amounts  # noqa: F401  (X14-X16 live in operators.units)
 from ledgermill.session import table
@@ -307,13 +307,19 @@ def a27_repeated_edges(spark, d):
     return documents.repeated_edges(table(spark, d, "parsed_pages"))
 
 
-@query()
+_NORM = "lower(trim(regexp_replace(regexp_replace(translate(replace(replace(replace(replace({0}, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), 'ﬃ', 'ffi'), chr(160) || '‘’“”‐‑‒–—―', ' ''''\"\"------'), '-\\n([a-z])', '\\1', 'g'), '\\s+', ' ', 'g')))"
+_SECTIONS = f"""{_PT}, nt AS (SELECT doc_id, page_no, {_NORM.format('t')} AS n FROM pt), words AS (SELECT * FROM (VALUES """ + ", ".join("({}, '{}', '{}', {})".format(i, k, w.replace("'", "''"), documents.SECTION_LENGTHS[k]) for i, (k, ws) in enumerate(documents.SECTION_WORDS.items()) for w in ws) + """) AS v(nth, kind, w, most)),
+  st AS (SELECT doc_id, nth, most, CASE WHEN kind <> 'related_party' THEN kind WHEN contains(n, 'consolidated') THEN 'related_party_consolidated' ELSE 'related_party_standalone' END AS kind, min(page_no) AS page_start FROM nt JOIN words ON contains(n, w) GROUP BY ALL),
+  sec AS (SELECT doc_id, kind, page_start, least(page_start + most, CASE WHEN nxt > page_start THEN nxt - 1 ELSE 1000000 END, last_page) AS page_end FROM (SELECT *, lead(page_start) OVER (PARTITION BY doc_id ORDER BY page_start, nth, kind) AS nxt FROM st) JOIN (SELECT doc_id, max(page_no) AS last_page FROM nt GROUP BY 1) USING (doc_id))"""
+
+
+@query(f"WITH {_SECTIONS} SELECT * FROM sec")
 def w21_sections(spark, d):
     """W21, W22."""
     return documents.sections(table(spark, d, "parsed_pages"))
 
 
-@query()
+@query(f"WITH {_SECTIONS}, c AS (SELECT doc_id, page_no, min_by(kind, (page_start, kind)) AS kind FROM nt JOIN sec USING (doc_id) WHERE page_no BETWEEN page_start AND page_end GROUP BY ALL) SELECT doc_id, page_no, coalesce(kind, 'other') AS kind FROM nt LEFT JOIN c USING (doc_id, page_no)")
 def j16_page_sections(spark, d):
     """J16."""
     p = table(spark, d, "parsed_pages")
@@ -334,13 +340,21 @@ def j15_phrase_mentions(spark, d):
     return documents.phrase_mentions(table(spark, d, "chunks"), table(spark, d, "entities"))
 
 
-@query(f"""WITH {_PT}, k AS (SELECT doc_id, page_no, greatest(1, length(t) // 4) AS tok FROM pt)
-  SELECT doc_id, page_no, CAST(coalesce(sum(tok) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4000 AS INT) AS window_no FROM k""")
+@query(f"""WITH RECURSIVE {_PT}, k AS (SELECT doc_id, page_no, greatest(1, length(t) // 4) AS tok, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS r FROM pt),
+  w AS (SELECT doc_id, r, page_no, tok, 0 AS window_no, tok AS used FROM k WHERE r = 1 UNION ALL
+    SELECT k.doc_id, k.r, k.page_no, k.tok, CASE WHEN w.used + k.tok > 4000 THEN w.window_no + 1 ELSE w.window_no END, CASE WHEN w.used + k.tok > 4000 THEN w.tok + k.tok ELSE w.used + k.tok END FROM w JOIN k ON k.doc_id = w.doc_id AND k.r = w.r + 1)
+  SELECT doc_id, window_no, page_no FROM w UNION SELECT b.doc_id, b.window_no, a.page_no FROM w b JOIN w a ON a.doc_id = b.doc_id AND a.r = b.r - 1 WHERE b.window_no > a.window_no""")
 def w23_page_windows(spark, d):
-    """W23 without overlap, X3."""
+    """Windows of pages with an overlap of one page."""
     return documents.page_windows(table(spark, d, "parsed_pages"))
 
 
+@query()
+def x2_cleaned_pages(spark, d):
+    """Pages without furniture; brute force in the tests."""
+    return documents.cleaned_pages(table(spark, d, "parsed_pages"))
+
+
 # resolution ---------------------------------------------------------------------------------------------------------
 
 @query("""WITH m AS (SELECT mention_id, kind, norm_name, ids['din'] AS din, coalesce(CASE WHEN ids['company_id'] <> '' AND NOT regexp_matches(ids['company_id'], '^0+$') THEN ids['company_id'] END, CASE WHEN ids['cin'] <> '' AND NOT regexp_matches(ids['cin'], '^0+$') THEN ids['cin'] END) AS c, ids['frn'] AS frn FROM mentions)
@@ -365,14 +379,21 @@ def a23_canonical_names(spark, d):
     return resolve.canonical_names(table(spark, d, "mentions"), R.latest_links(table(spark, d, "merge_log")))
 
 
-@query("""WITH a AS (SELECT DISTINCT ON (record_id) record_id, record_type, payload_json AS p FROM records WHERE status IN ('accepted', 'fixed') ORDER BY record_id),
-  m AS (SELECT record_id || ':person' AS mention_id, 'person' AS kind, p->>'$.person_name' AS raw_name FROM a WHERE record_type = 'directors'
-  UNION ALL SELECT record_id || ':counterparty', CASE WHEN regexp_matches(lower(p->>'$.counterparty_name'), '\\b(limited|ltd|llp|private|corporation|bank|trust|company)\\b') THEN 'company' ELSE 'person' END, p->>'$.counterparty_name' FROM a WHERE record_type = 'rpt'
-  UNION ALL SELECT record_id || ':audit_firm', 'audit_firm', p->>'$.firm_name' FROM a WHERE record_type = 'auditor' UNION ALL SELECT record_id || ':subsidiary', 'company', p->>'$.subsidiary_name' FROM a WHERE record_type = 'subsidiaries')
-  SELECT * FROM m WHERE raw_name IS NOT NULL""")
+_NC = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(" + _NORM + ", '&', ' and '), '\\(.*?\\)', ' ', 'g'), '\\b(limited|ltd|private|pvt|llp|inc|incorporated|co|company|corporation|corp)\\b\\.?', ' ', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_NP = "trim(regexp_replace(regexp_replace(regexp_replace(" + _NORM + ", '\\b(mr|mrs|ms|miss|dr|shri|smt|sri|kum|prof|capt|col|justice|ca|cs)\\b\\.?', ' ', 'g'), '[^a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH {_LAST}, nm AS (SELECT substr(entity_id, 3) AS company_id, max(canonical_name) AS name FROM entities WHERE kind = 'company' GROUP BY 1), r AS (SELECT a.record_id, a.record_type AS t, a.payload_json AS p, f.company_id, n.name FROM acc a JOIN fil f USING (doc_id) LEFT JOIN nm n USING (company_id) WHERE record_type IN ('directors', 'rpt', 'auditor', 'subsidiaries')),
+  m AS (SELECT record_id || ':context_company' AS mention_id, 'company' AS kind, coalesce(name, company_id) AS raw_name, 'company_id=' || company_id AS id, company_id, record_id FROM r WHERE company_id IS NOT NULL
+  UNION ALL SELECT record_id || ':person', 'person', p->>'$.person_name', 'din=' || nullif(p->>'$.din', ''), company_id, record_id FROM r WHERE t = 'directors'
+  UNION ALL SELECT record_id || ':counterparty', CASE WHEN regexp_matches(lower(p->>'$.counterparty_name'), ' (limited|ltd|private|pvt|llp|trust|inc|co|corporation)|(limited|ltd|private|pvt|llp|trust|inc|co|corporation)$') THEN 'company' ELSE 'person' END, p->>'$.counterparty_name', NULL, company_id, record_id FROM r WHERE t = 'rpt'
+  UNION ALL SELECT record_id || ':audit_firm', 'audit_firm', p->>'$.firm_name', 'frn=' || nullif(p->>'$.firm_registration_no', ''), company_id, record_id FROM r WHERE t = 'auditor' UNION ALL SELECT record_id || ':subsidiary', 'company', p->>'$.subsidiary_name', NULL, company_id, record_id FROM r WHERE t = 'subsidiaries')
+  SELECT mention_id, kind, raw_name, CASE WHEN kind = 'person' THEN {_NP.format('raw_name')} ELSE {_NC.format('raw_name')} END AS norm_name, id, company_id AS context_company_id, record_id FROM m WHERE raw_name <> ''""")
 def u9_mentions(spark, d):
-    """U9, F21, H55."""
-    return resolve.build_mentions(table(spark, d, "records"), table(spark, d, "filings"))
+    """Mentions of accepted records with their reporting companies."""
+    names = table(spark, d, "entities").where("kind = 'company'").groupBy(F.expr("substring(entity_id, 3)").alias("company_id")).agg(F.max("canonical_name").alias("name"))
+    m = resolve.build_mentions(table(spark, d, "records"), table(spark, d, "filings"), names)
+    return m.withColumn("id", F.expr("array_join(transform(map_entries(ids), x -> concat(x.key, '=', x.value)), ',')")).withColumn("id", F.nullif("id", F.lit(""))).drop("ids")
 
 
 # retrieval and ranking ----------------------------------------------------------------------------------------------
@@ -443,44 +464,142 @@ def f12_question_scope(spark, d):
 
 # evaluation ---------------------------------------------------------------------------------------------------------
 
-_SCORES = """sc AS (SELECT qid, category, CAST((length(question) % 3) < 2 AS INT) * 1.0 AS correct, CAST((length(question) % 5) < 3 AS INT) * 1.0 AS other, CASE WHEN length(question) % 4 > 0 THEN (length(question) % 4) / 3.0 END AS recall,
-  (category = 'unanswerable') AS abstained, CAST(length(question) * 10 AS BIGINT) AS latency_ms FROM (SELECT qid, max(question) AS question, max(category) AS category FROM questions WHERE qid IS NOT NULL GROUP BY qid))"""
+PIPELINES = ["rag", "graphrag", "agent"]
+_NA = "trim(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(lower({0}), '\\bm\\s*/\\s*s\\b\\.?', ' ', 'g'), '&', ' and '), '[^a-z0-9 ]+', ' ', 'g'), '\\b(llp|ltd|limited|pvt|private|co|company|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+_CRORE = "CASE WHEN lower({0}) LIKE '%crore%' THEN {1} WHEN lower({0}) LIKE '%lakh%' THEN {1} * 0.01 WHEN lower({0}) LIKE '%million%' THEN {1} * 0.1 WHEN lower({0}) LIKE '%billion%' THEN {1} * 100 WHEN {1} >= 1e6 THEN {1} / 1e7 ELSE {1} END"
+_RUNS = f"""qs AS (SELECT qid, max(question) AS question, max(category) AS category, max(answer_type) AS answer_type, max(gold_answer) AS gold_answer, max(gold_evidence) AS gold_evidence, max(version) AS version, max(split) AS split FROM questions WHERE qid IS NOT NULL GROUP BY qid),
+  h AS (SELECT *, left(md5(qid || pipeline), 1) AS k FROM qs, (VALUES ('rag'), ('graphrag'), ('agent')) AS p(pipeline)),
+  results AS (SELECT pipeline || '-run' AS run_id, pipeline, qid, CASE WHEN k IN ('0', '1') THEN 'abstained' WHEN k = '2' THEN 'error' WHEN k = '3' THEN 'budget' ELSE 'ok' END AS status, CASE WHEN k < 'b' THEN gold_answer ELSE reverse(gold_answer) END AS answer_short,
+    CASE WHEN k IN ('1', '4', '7', 'a', 'd') THEN gold_evidence ELSE list_transform(gold_evidence, lambda x: struct_pack(doc_id := x.doc_id, page := x.page + 1)) END AS cited, CASE WHEN k IN ('8', '9') THEN 0.5 WHEN k IN ('4', '5', '6', '7', 'c') THEN 1.0 END AS faithfulness,
+    100 * length(question) + length(pipeline) AS latency_ms, length(question) / 1024.0 AS cost_usd, length(pipeline) AS llm_calls, CASE WHEN pipeline = 'agent' THEN 2 ELSE 0 END AS tool_calls FROM h),
+  z AS (SELECT r.*, q.category, q.answer_type, q.gold_answer AS gold, coalesce(q.category, '') <> 'unanswerable' AS answerable, list_transform(q.gold_evidence, lambda x: x.doc_id || ':' || CAST(x.page AS VARCHAR)) AS ge, list_transform(r.cited, lambda x: x.doc_id || ':' || CAST(x.page AS VARCHAR)) AS ce,
+    TRY_CAST(replace(regexp_extract(r.answer_short, '([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), ',', '') AS DOUBLE) AS num, TRY_CAST(q.gold_answer AS DOUBLE) AS want FROM results r JOIN qs q USING (qid)),
+  y AS (SELECT *, CASE WHEN len(ge) > 0 THEN len(list_intersect(ge, ce)) / len(list_distinct(ge)) END AS evidence_recall, CASE WHEN len(ce) > 0 THEN len(list_intersect(ce, ge)) / len(list_distinct(ce)) END AS citation_accuracy,
+    CASE WHEN NOT answerable THEN CAST(status = 'abstained' AS INT) * 1.0 WHEN status IN ('error', 'abstained') THEN 0.0 WHEN answer_type = 'entity' THEN CASE WHEN coalesce({_NA.format('answer_short')}, '') <> '' AND {_NA.format('answer_short')} = {_NA.format('gold')} THEN 1.0 ELSE 0.0 END
+      WHEN answer_type = 'number' THEN CASE WHEN abs(({_CRORE.format('answer_short', 'num')}) - want) <= 0.01 * abs(want) THEN 1.0 ELSE 0.0 END ELSE 0.0 END AS correct FROM z),
+  sc AS (SELECT run_id, pipeline, qid, category, answer_type, correct, status = 'abstained' AS abstained, status = 'error' AS error, status = 'budget' AS budget_exceeded, faithfulness, citation_accuracy, evidence_recall,
+    CASE WHEN status = 'error' THEN 'bad_query' WHEN status = 'budget' AND correct < 1 THEN 'budget_loop' WHEN NOT answerable THEN CASE WHEN status = 'abstained' THEN NULL ELSE 'hallucination' END WHEN status = 'abstained' THEN 'wrong_abstention' WHEN faithfulness < 1 THEN 'hallucination' WHEN correct >= 1 THEN NULL
+      WHEN evidence_recall = 0 THEN 'retrieval_miss' WHEN answer_type = 'number' THEN 'arithmetic_error' WHEN evidence_recall IS NULL THEN 'retrieval_miss' ELSE 'hallucination' END AS failure_label, latency_ms, cost_usd, llm_calls, tool_calls FROM y)"""
+
+
+def question_rows(spark, d):
+    """One row a question."""
+    q = table(spark, d, "questions").where("qid is not null")
+    return q.groupBy("qid").agg(*[F.max(c).alias(c) for c in ("question", "category", "answer_type", "gold_answer", "gold_evidence", "version", "split")])
+
+
+def fixture_results(spark, d):
+    """Results of three runs made from the questions by a hash, as the test data has no runs: right, turned round and missing
+    answers, right and next pages cited, supported or not."""
+    q = question_rows(spark, d).withColumn("pipeline", F.explode(F.array(*[F.lit(p) for p in PIPELINES]))).withColumn("k", F.left(F.md5(F.concat("qid", "pipeline")), F.lit(1)))
+    k = F.col("k")
+    later = F.transform("gold_evidence", lambda x: F.struct(x["doc_id"].alias("doc_id"), (x["page"] + 1).alias("page")))
+    return q.select(
+        F.concat("pipeline", F.lit("-run")).alias("run_id"), "pipeline", "qid", F.when(k.isin("0", "1"), "abstained").when(k == "2", "error").when(k == "3", "budget").otherwise("ok").alias("status"),
+        F.when(k < "b", F.col("gold_answer")).otherwise(F.reverse("gold_answer")).alias("answer_short"), F.when(k.isin("1", "4", "7", "a", "d"), F.col("gold_evidence")).otherwise(later).alias("cited"),
+        F.when(k.isin("8", "9"), 0.5).when(k.isin("4", "5", "6", "7", "c"), 1.0).alias("faithfulness"), (100 * F.length("question") + F.length("pipeline")).alias("latency_ms"), (F.length("question") / 1024.0).alias("cost_usd"),
+        F.length("pipeline").alias("llm_calls"), F.when(F.col("pipeline") == "agent", 2).otherwise(0).alias("tool_calls"))
+
+
+def fixture_scores(spark, d):
+    return evaluation.score_results(fixture_results(spark, d), question_rows(spark, d))
+
+
+def fixture_runs(spark):
+    rows = [("rag-run", "rag", "test", "2024-01-01", "2024-01-02"), ("graphrag-run", "graphrag", "test", "2024-01-02", None), ("agent-run", "agent", "dev", "2024-01-03", "2024-01-04"), ("empty-run", "agent", "test", "2024-02-01", None)]
+    return spark.createDataFrame(rows, "run_id string, pipeline string, split string, started_at string, finished_at string")
+
+
+_RUN_ROWS = "runs AS (SELECT * FROM (VALUES ('rag-run', 'rag', 'test', '2024-01-01', '2024-01-02'), ('graphrag-run', 'graphrag', 'test', '2024-01-02', NULL), ('agent-run', 'agent', 'dev', '2024-01-03', '2024-01-04'), ('empty-run', 'agent', 'test', '2024-02-01', NULL)) AS v(run_id, pipeline, split, started_at, finished_at))"
+
+
+@query(f"WITH {_RUNS} SELECT * EXCLUDE (pipeline) FROM sc")
+def x21_scores(spark, d):
+    """Results scored against the questions."""
+    return fixture_scores(spark, d)
 
 
-def _scores(spark, d):
-    """Stand-in scores of two runs, derived from the questions, as the test data has no runs."""
-    q = table(spark, d, "questions").where("qid is not null").groupBy("qid").agg(F.max("question").alias("question"), F.max("category").alias("category"))
-    n = F.length("question")
-    return q.select("qid", "category", (n % 3 < 2).cast("double").alias("correct"), (n % 5 < 3).cast("double").alias("other"), F.when(n % 4 > 0, (n % 4) / 3.0).alias("recall"), (F.col("category") == "unanswerable").alias("abstained"), (n * 10).cast("bigint").alias("latency_ms"))
+_LABELS = evaluation.FAILURE_LABELS[4:]
 
 
-@query(f"""WITH {_SCORES} SELECT category, grouping(category) AS overall, count(*) AS n, round(avg(correct), 6) AS accuracy, round(avg(recall), 6) AS evidence_recall, round(avg(CAST(abstained AS INT)), 6) AS abstention_rate,
-  quantile_cont(latency_ms, 0.5) AS latency_median, quantile_cont(latency_ms, 0.9) AS latency_p90 FROM sc GROUP BY GROUPING SETS ((category), ())""")
+@query(f"""WITH {_RUNS} SELECT run_id, category, grouping(category) AS overall, count(*) AS n, round(avg(correct), 6) AS correct_mean, round(avg(faithfulness), 6) AS faithfulness_mean, round(avg(citation_accuracy), 6) AS citation_accuracy_mean, round(avg(evidence_recall), 6) AS evidence_recall_mean,
+  round(avg(CAST(abstained AS INT)), 6) AS abstention_rate, count(*) FILTER (error) AS error_count, quantile_cont(latency_ms, 0.5) AS latency_median_ms, quantile_cont(latency_ms, 0.9) AS latency_p90_ms, round(avg(cost_usd), 6) AS cost_usd_mean, round(avg(llm_calls), 6) AS llm_calls_mean,
+  round(avg(tool_calls), 6) AS tool_calls_mean, round(avg(CAST(budget_exceeded AS INT)), 6) AS budget_exceeded_rate, """ + ", ".join(f"count(*) FILTER (failure_label = '{x}') AS {x}" for x in _LABELS) + " FROM sc GROUP BY GROUPING SETS ((run_id, category), (run_id))")
 def a13_summary(spark, d):
-    """A12, A13, H3, H9."""
-    s = evaluation.summarize(_scores(spark, d))
-    return s.select("category", F.col("overall").cast("bigint").alias("overall"), "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "evidence_recall", "abstention_rate")], "latency_median", "latency_p90")
+    """Metrics and failures by run and category."""
+    s = evaluation.summarize(fixture_scores(spark, d))
+    means = [c for c in s.columns if c.endswith(("_mean", "_rate"))]
+    return s.withColumn("overall", F.col("overall").cast("bigint")).withColumns({c: F.round(c, 6) for c in means})
+
+
+def _of(scores, pipeline):
+    return scores.where(F.col("run_id") == f"{pipeline}-run")
 
 
 @query()
 def a15_paired_difference(spark, d):
-    """Bootstrap of two runs; bit-equal to numpy in the tests."""
-    s = _scores(spark, d)
-    return evaluation.paired_difference(s, s.select("qid", F.col("other").alias("correct")))
+    """Bootstrap of two runs by category and overall; bit-equal to numpy in the tests."""
+    s = fixture_scores(spark, d)
+    return evaluation.paired_difference(_of(s, "graphrag"), _of(s, "rag"))
 
 
-@query("""SELECT qid, CASE WHEN l LIKE '%crore%' THEN x WHEN l LIKE '%lakh%' THEN x / 100 WHEN l LIKE '%million%' THEN x / 10 WHEN l LIKE '%billion%' THEN x * 100 WHEN abs(x) >= 1e6 THEN x / 1e7 ELSE x END AS crore
-  FROM (SELECT qid, lower(gold_answer) AS l, TRY_CAST(replace(regexp_extract(gold_answer, '(-?[0-9][0-9,]*\\.?[0-9]*)', 1), ',', '') AS DOUBLE) AS x FROM questions)""")
-def x17_number_in_crore(spark, d):
-    """X17, X15."""
-    return table(spark, d, "questions").select("qid", evaluation.number_in_crore(F.col("gold_answer")).alias("crore"))
+@query()
+def a18_leaders(spark, d):
+    """Leading run by category with a paired verdict; brute force in the tests."""
+    return evaluation.leaders(fixture_scores(spark, d))
+
+
+@query(f"WITH {_RUNS} SELECT qid, " + ", ".join(f"max(correct) FILTER (sc.pipeline = '{p}') AS {p}_correct, max(failure_label) FILTER (sc.pipeline = '{p}') AS {p}_label, max(answer_short) FILTER (sc.pipeline = '{p}') AS {p}_answer" for p in PIPELINES) + " FROM sc JOIN results USING (run_id, qid) GROUP BY qid")
+def j23_question_table(spark, d):
+    """Runs side by side, a row a question."""
+    return evaluation.question_table(fixture_scores(spark, d), fixture_results(spark, d), PIPELINES)
+
+
+@query(f"WITH {_RUNS}, {_RUN_ROWS}, n AS (SELECT run_id, count(*) AS c FROM results GROUP BY 1) SELECT runs.*, coalesce(c, 0) AS n_results, row_number() OVER (ORDER BY coalesce(finished_at, started_at) DESC NULLS LAST, runs.run_id) AS rank FROM runs LEFT JOIN n USING (run_id)")
+def a20_run_list(spark, d):
+    """Runs with their counts of results, newest first."""
+    return evaluation.run_list(fixture_runs(spark), fixture_results(spark, d)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(f"WITH {_RUNS}, {_RUN_ROWS}, n AS (SELECT DISTINCT run_id FROM results), k AS (SELECT pipeline, run_id, row_number() OVER (PARTITION BY pipeline ORDER BY (split = 'test') DESC, coalesce(finished_at, started_at) DESC NULLS LAST, run_id) AS r FROM runs JOIN n USING (run_id)) SELECT pipeline, run_id FROM k WHERE r = 1")
+def w20_default_runs(spark, d):
+    """The newest run with results of every pipeline."""
+    return evaluation.default_runs(evaluation.run_list(fixture_runs(spark), fixture_results(spark, d)), "test")
 
 
-@query(f"""WITH {_SCORES} SELECT qid, CASE WHEN category = 'unanswerable' AND NOT abstained THEN 'missed_abstention' WHEN category <> 'unanswerable' AND abstained THEN 'wrong_abstention' WHEN correct >= 1 THEN NULL WHEN recall = 0 THEN 'retrieval_miss' ELSE 'wrong_answer' END AS label FROM sc""")
-def x23_failure_labels(spark, d):
-    """X23, A32."""
-    s = _scores(spark, d)
-    return s.select("qid", evaluation.failure_label(F.col("correct"), F.col("abstained"), F.col("category") != "unanswerable", F.lit(None).cast("double"), F.col("recall"), F.lit(False)).alias("label"))
+@query(f"""WITH {_RUNS}, {_RUN_ROWS}, k AS (SELECT regexp_replace(lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))), '[?.! ]+$', '') AS question_key, r.pipeline, r.run_id, r.answer_short, row_number() OVER (PARTITION BY question_key, r.pipeline ORDER BY started_at, r.run_id, r.qid, answer_short NULLS FIRST) AS n FROM results r JOIN runs USING (run_id) JOIN qs USING (qid) WHERE status <> 'error')
+  SELECT question_key, pipeline, run_id, answer_short FROM k WHERE n = 1""")
+def a17_cached_answers(spark, d):
+    """First answer without error by question and pipeline."""
+    return evaluation.cached_answers(fixture_results(spark, d), fixture_runs(spark), question_rows(spark, d))
+
+
+@query(f"WITH {_RUNS}, o AS (SELECT run_id, avg(correct) AS c, quantile_cont(latency_ms, 0.5) AS l FROM sc GROUP BY 1) SELECT o.run_id, round(o.c / nullif(b.c, 0), 6) AS accuracy_ratio, round(o.l / nullif(b.l, 0), 6) AS latency_ratio FROM o, o b WHERE b.run_id = 'rag-run'")
+def a33_takeaways(spark, d):
+    """Ratios to a baseline run."""
+    t = evaluation.takeaways(evaluation.summarize(fixture_scores(spark, d)), "rag-run")
+    return t.withColumns({c: F.round(c, 6) for c in ("accuracy_ratio", "latency_ratio")})
+
+
+@query(f"WITH {_RUNS} SELECT run_id, qid, failure_label FROM sc WHERE correct < 1 AND category = 'numerical' AND failure_label IN ('arithmetic_error', 'hallucination')")
+def a32_failure_rows(spark, d):
+    """Failures of a category by label."""
+    return fixture_scores(spark, d).where("correct < 1 and category = 'numerical' and failure_label in ('arithmetic_error', 'hallucination')").select("run_id", "qid", "failure_label")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS request_id, CAST(sum(floor(value)) AS BIGINT) AS tokens_in, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS tokens_out, round(sum(value), 4) AS cost_usd, count(*) FILTER (event_type = 'click' OR (event_type = 'view' AND floor(value) > 0)) AS llm_calls, count(*) FILTER (event_type = 'error') AS tool_calls FROM events GROUP BY user_id""")
+def a21_usage_by_request(spark, d):
+    """Usage of each request, events read as steps."""
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "click", "llm").when(F.col("event_type") == "view", "verify").when(F.col("event_type") == "error", "tool").otherwise(F.col("event_type"))
+    u = evaluation.usage_by_request(e.select(F.col("user_id").cast("string").alias("request_id"), kind.alias("kind"), F.floor("value").alias("tokens_in"), F.get_json_object("props", "$.k").cast("bigint").alias("tokens_out"), F.col("value").alias("cost_usd")))
+    return u.withColumn("cost_usd", F.round("cost_usd", 4))
+
+
+@query(f"SELECT qid, {_CRORE.format('gold_answer', 'x')} AS crore FROM (SELECT qid, gold_answer, TRY_CAST(replace(regexp_extract(gold_answer, '([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), ',', '') AS DOUBLE) AS x FROM questions)")
+def x17_number_in_crore(spark, d):
+    """X17, X15."""
+    return table(spark, d, "questions").select("qid", answers.number_in_crore(F.col("gold_answer")).alias("crore"))
 
 
 # scalar functions ---------------------------------------------------------------------------------------------------

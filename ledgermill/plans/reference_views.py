@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgermill.functions import text as X
-from ledgermill.operators import evaluation, evidence, records as R
-from ledgermill.plans.reference import _EDGES, _PT, _SCORES, _SEEDS, _scores, _seeds, edges_of, query
+from ledgermill.operators import evidence, records as R
+from ledgermill.plans.reference import _EDGES, _NC, _NORM, _NP, _PT, _SEEDS, _seeds, edges_of, query
 from ledgermill.session import table
 
-_NORM = "lower(trim(regexp_replace(regexp_replace(translate({0}, '‘’“”–—' || chr(160), '''''\"\"-- '), '-\\n([a-z])', '\\1', 'g'), '[ \\t\\r\\n\\f]+', ' ', 'g')))"
-
-
 @query(f"""WITH {_PT}, e AS (SELECT DISTINCT record_id, payload_json->>'$.evidence.doc_id' AS doc_id, CAST(payload_json->>'$.evidence.page' AS INT) AS page, {_NORM.format("payload_json->>'$.evidence.quote'")} AS quote
   FROM records WHERE payload_json->>'$.evidence.page' IS NOT NULL), n AS (SELECT doc_id, page_no, {_NORM.format('t')} AS norm FROM pt),
   h AS (SELECT record_id, page, page_no, CASE WHEN page_no = page THEN 0 WHEN page_no = page - 1 THEN 1 ELSE 2 END AS turn FROM e JOIN n ON e.doc_id = n.doc_id AND n.page_no BETWEEN page - 1 AND page + 1 WHERE length(quote) >= 8 AND contains(norm, quote)),
@@ -68,27 +65,9 @@ def h31_repeated_calls(spark, d):
     return e.select("event_id", F.col("nth").cast("bigint").alias("nth"))
 
 
-@query(f"""WITH {_SCORES}, u AS (SELECT category, 'a' AS run, correct FROM sc UNION ALL SELECT category, 'b', other FROM sc), m AS (SELECT category, run, avg(correct) AS mean FROM u GROUP BY ALL),
-  t AS (SELECT category, max(mean) AS mean FROM m GROUP BY 1) SELECT category, CASE WHEN count(*) = 1 THEN min(run) END AS leader FROM m JOIN t USING (category, mean) GROUP BY category""")
-def a18_leaders(spark, d):
-    """A18, J23."""
-    s = _scores(spark, d)
-    u = s.select("category", F.lit("a").alias("run"), "correct").unionByName(s.select("category", F.lit("b").alias("run"), F.col("other").alias("correct")))
-    return evidence.leaders(u, "category", "run", "correct")
-
-
-@query(f"""WITH {_SCORES}, l AS (SELECT category, CASE WHEN category = 'unanswerable' AND NOT abstained THEN 'missed_abstention' WHEN category <> 'unanswerable' AND abstained THEN 'wrong_abstention' WHEN correct >= 1 THEN NULL WHEN recall = 0 THEN 'retrieval_miss' ELSE 'wrong_answer' END AS label FROM sc)
-  SELECT category, count(*) FILTER (label = 'retrieval_miss') AS retrieval_miss, count(*) FILTER (label = 'wrong_answer') AS wrong_answer FROM l GROUP BY category""")
-def a31_failure_stack(spark, d):
-    """Failure labels by category as columns."""
-    s = _scores(spark, d)
-    lab = evaluation.failure_label(F.col("correct"), F.col("abstained"), F.col("category") != "unanswerable", F.lit(None).cast("double"), F.col("recall"), F.lit(False))
-    return s.withColumn("label", lab).groupBy("category").pivot("label", ["retrieval_miss", "wrong_answer"]).agg(F.count(F.lit(1))).na.fill(0)
-
-
 @query("SELECT version, split, count(*) AS n_questions, count(*) FILTER (verified) AS n_verified, max(qid) AS last_qid FROM (SELECT DISTINCT qid, version, split, verified FROM questions) GROUP BY version, split")
-def a20_question_sets(spark, d):
-    """Sets of questions with their counts."""
+def h1_question_sets(spark, d):
+    """Sets of questions with their counts."""
     q = table(spark, d, "questions").select("qid", "version", "split", "verified").distinct()
     return q.groupBy("version", "split").agg(F.count(F.lit(1)).alias("n_questions"), F.count_if("verified").alias("n_verified"), F.max("qid").alias("last_qid"))
 
