@@ -73,18 +73,19 @@ def evidence_chunks(records: DataFrame, chunks: DataFrame) -> DataFrame:
     return e.join(c, ["doc_id", "page_no"]).select("record_id", "chunk_id").distinct()
 
 
-def phrase_mentions(chunks: DataFrame, entities: DataFrame) -> DataFrame:
-    """(chunk_id, entity_id): chunks that contain an entity's canonical name of two or more words, word by word.
+def phrase_mentions(chunks: DataFrame, entities: DataFrame, min_words: int = 2) -> DataFrame:
+    """(chunk_id, entity_id): chunks that contain an entity's canonical name of min_words or more words, word by word.
 
     The names' first two words meet the chunks' word pairs by equi-join, and the whole name is then verified, so no
     chunk is held against all names.
     """
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    names = entities.select("entity_id", plain(F.col("canonical_name")).alias("phrase")).where("phrase like '% %'").distinct()
+    names = entities.select("entity_id", plain(F.col("canonical_name")).alias("phrase")).where(F.col("phrase") != "").distinct().where(F.size(F.split("phrase", " ")) >= min_words)
     names = names.withColumn("pair", F.array_join(F.slice(F.split("phrase", " "), 1, 2), " "))
     text = chunks.where("text is not null").groupBy("chunk_id").agg(F.max("text").alias("text")).select("chunk_id", plain(F.col("text")).alias("t"))
     ws = F.split("t", " ")
-    pairs = text.select("chunk_id", "t", F.explode(F.array_distinct(F.transform(F.arrays_zip(ws.alias("a"), F.slice(ws, F.lit(2), F.size(ws)).alias("b")), lambda x: F.concat_ws(" ", x["a"], x["b"])))).alias("pair"))
+    two = F.transform(F.arrays_zip(ws.alias("a"), F.slice(ws, F.lit(2), F.size(ws)).alias("b")), lambda x: F.concat_ws(" ", x["a"], x["b"]))
+    pairs = text.select("chunk_id", "t", F.explode(F.array_distinct(two if min_words > 1 else F.concat(ws, two))).alias("pair"))
     return pairs.join(names, "pair").where(F.concat(F.lit(" "), "t", F.lit(" ")).contains(F.concat(F.lit(" "), "phrase", F.lit(" ")))).select("chunk_id", "entity_id").distinct()
 
 

@@ -24,10 +24,21 @@ def grounded_pages(records: DataFrame, pages: DataFrame) -> DataFrame:
         "record_id", "page", F.when(F.col("ok"), F.col("p")).alias("found_on"))
 
 
-def companies_in_questions(questions: DataFrame, entities: DataFrame) -> DataFrame:
-    """(qid, company_id) of questions that name exactly one company, word by word."""
-    names = entities.where("kind = 'company'").select("entity_id", "canonical_name")
-    hits = phrase_mentions(questions.select(F.col("qid").alias("chunk_id"), F.col("question").alias("text")), names)
+def name_variants(name: Column) -> Column:
+    """Array of the ways a company is named: without Limited, without The and Company, its first two of three or more words, & as and."""
+    core = F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"\b(limited|ltd\.?)\b", ""), r"\s+", " "))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(core, "^the ", ""), " company$", ""))
+    words = F.split(F.trim(F.replace(bare, F.lit("&"), F.lit(" "))), r"\s+")
+    short = F.when(F.size(words) >= 3, F.array_join(F.slice(words, 1, 2), " "))
+    some = F.filter(F.array(core, bare, short), lambda x: x.isNotNull())
+    return F.filter(F.array_distinct(F.concat(some, F.transform(some, lambda x: F.replace(x, F.lit("&"), F.lit("and"))))), lambda x: x != "")
+
+
+def companies_in_questions(questions: DataFrame, companies: DataFrame) -> DataFrame:
+    """(qid, company_id) of questions that name exactly one of companies (entity_id, name), word by word, by a variant of its name or its id."""
+    ways = F.concat(name_variants(F.col("name")), F.array(F.lower(F.expr("substring(entity_id, 3)"))))
+    names = companies.select("entity_id", F.explode(ways).alias("canonical_name"))
+    hits = phrase_mentions(questions.select(F.col("qid").alias("chunk_id"), F.col("question").alias("text")), names, 1)
     return hits.groupBy(F.col("chunk_id").alias("qid")).agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("company_id")).where("n = 1").drop("n")
 
 
@@ -46,17 +57,6 @@ def set_f1(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(both == 0, 0.0).otherwise(2.0 * both / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))))
 
 
-def score_facts(edges: DataFrame, linked: DataFrame, relations: list[str], years: list[str], dataset_prefix: str = "C:") -> DataFrame:
-    """Edges with a score: 3 touches a linked entity (id), 2 asked relation, 1.5 asked year, 0.5 an end in the data set."""
-    ends = linked.select("id").distinct()
-    touch = edges.join(ends.withColumnRenamed("id", "src_id"), "src_id", "left_semi").select("edge_id").unionByName(edges.join(ends.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi").select("edge_id")).distinct()
-    e = edges.join(touch.withColumn("touches", F.lit(True)), "edge_id", "left")
-    in_set = F.col("src_id").startswith(dataset_prefix) & ~F.col("src_id").startswith(dataset_prefix + "x") | F.col("dst_id").startswith(dataset_prefix) & ~F.col("dst_id").startswith(dataset_prefix + "x")
-    score = (F.when(F.col("touches"), 3.0).otherwise(0.0) + F.when(F.col("rel").isin(*relations), 2.0).otherwise(0.0)
-             + F.when(F.col("fiscal_year").isin(*years), 1.5).otherwise(0.0) + F.when(in_set, 0.5).otherwise(0.0))
-    return e.select("edge_id", "rel", score.alias("score"))
-
-
 def pending_reviews(records: DataFrame, filings: DataFrame, limit: int = 50) -> DataFrame:
     """The newest records in review with their filing: a work list of `limit` rows."""
     f = filings.groupBy("doc_id").agg(F.max("company_id").alias("company_id"))

@@ -18,14 +18,6 @@ def f8_grounded_pages(spark, d):
     return evidence.grounded_pages(table(spark, d, "records"), table(spark, d, "parsed_pages"))
 
 
-@query("""WITH q AS (SELECT qid, concat(' ', trim(regexp_replace(lower(max(question)), '[^a-z0-9]+', ' ', 'g')), ' ') AS t FROM questions WHERE question IS NOT NULL GROUP BY qid),
-  e AS (SELECT DISTINCT entity_id, trim(regexp_replace(lower(canonical_name), '[^a-z0-9]+', ' ', 'g')) AS p FROM entities WHERE kind = 'company')
-  SELECT qid, min(entity_id) AS company_id FROM (SELECT DISTINCT qid, entity_id FROM q JOIN e ON p LIKE '% %' AND contains(t, concat(' ', p, ' '))) GROUP BY qid HAVING count(*) = 1""")
-def f14_question_company(spark, d):
-    """exactly one company named."""
-    return evidence.companies_in_questions(table(spark, d, "questions"), table(spark, d, "entities"))
-
-
 @query("""WITH g AS (SELECT qid, list_transform(gold_evidence, lambda x: x.doc_id || ':' || CAST(x.page AS VARCHAR)) AS gold, list_transform(list_filter(gold_evidence, lambda x: x.page % 2 = 0), lambda x: x.doc_id || ':' || CAST(x.page AS VARCHAR)) AS cited FROM questions)
   SELECT qid, CASE WHEN len(gold) > 0 THEN round(len(list_intersect(gold, cited)) / len(list_distinct(gold)), 6) END AS recall, CASE WHEN len(cited) > 0 THEN round(len(list_intersect(cited, gold)) / len(list_distinct(cited)), 6) END AS prec FROM g""")
 def j24_evidence_recall(spark, d):
@@ -44,13 +36,6 @@ def a26_set_f1(spark, d):
     return q.select("qid", F.round(evidence.set_f1(w(F.col("gold_answer")), w(F.col("question"))), 6).alias("f1"))
 
 
-@query(_EDGES + f""", {_SEEDS} SELECT edge_id, rel, (CASE WHEN src_id IN (SELECT id FROM seeds) OR dst_id IN (SELECT id FROM seeds) THEN 3.0 ELSE 0.0 END) + (CASE WHEN rel IN ('DIRECTOR_OF', 'AUDITED_BY') THEN 2.0 ELSE 0.0 END)
-  + (CASE WHEN fiscal_year IN ('FY2022-23') THEN 1.5 ELSE 0.0 END) + (CASE WHEN (src_id LIKE 'C:%' AND src_id NOT LIKE 'C:x%') OR (dst_id LIKE 'C:%' AND dst_id NOT LIKE 'C:x%') THEN 0.5 ELSE 0.0 END) AS score FROM edges""")
-def w11_fact_scores(spark, d):
-    """W11, H52."""
-    return evidence.score_facts(edges_of(spark, d), _seeds(spark, d), ["DIRECTOR_OF", "AUDITED_BY"], ["FY2022-23"])
-
-
 @query("""SELECT r.record_id, r.record_type, f.company_id FROM (SELECT record_id, doc_id, record_type, max(loaded_at) AS loaded_at FROM records WHERE status = 'review' GROUP BY ALL) r
   LEFT JOIN (SELECT doc_id, max(company_id) AS company_id FROM filings GROUP BY 1) f USING (doc_id) ORDER BY r.loaded_at DESC NULLS LAST, record_id LIMIT 50""")
 def j10_pending_reviews(spark, d):
@@ -72,11 +57,11 @@ def h1_question_sets(spark, d):
     return q.groupBy("version", "split").agg(F.count(F.lit(1)).alias("n_questions"), F.count_if("verified").alias("n_verified"), F.max("qid").alias("last_qid"))
 
 
-@query("""SELECT DISTINCT record_id, CASE WHEN a IS NULL THEN '' ELSE '₹ ' || format('{:,.2f}', a / 1e7) || ' crore' END AS shown FROM (SELECT record_id, round(CAST(payload_json->>'$.amount_inr' AS DOUBLE) / 1e6) * 1e6 AS a FROM records WHERE record_type = 'rpt')""")
+@query("""SELECT DISTINCT record_id, CASE WHEN a IS NULL THEN '' ELSE '₹ ' || format('{:,.2f}', a / 1e7) || ' crore' END AS shown FROM (SELECT record_id, CAST(payload_json->>'$.amount_inr' AS DOUBLE) AS a FROM records WHERE record_type = 'rpt')""")
 def x26_crore_text(spark, d):
-    """X26, X41 on amounts rounded to a million, which keeps half-way cases out."""
+    """Amounts as printed in crore."""
     r = R.decoded(table(spark, d, "records"), "rpt")
-    return r.select("record_id", X.crore_text(F.round(F.col("p.amount_inr") / 1e6) * 1e6).alias("shown")).distinct()
+    return r.select("record_id", X.crore_text(F.col("p.amount_inr")).alias("shown")).distinct()
 
 
 @query(_EDGES + """, c AS (SELECT DISTINCT dst_id AS id FROM edges WHERE rel = 'DIRECTOR_OF' ORDER BY id LIMIT 15) SELECT DISTINCT edge_id, rel, src_id, dst_id FROM edges WHERE src_id IN (SELECT id FROM c) OR dst_id IN (SELECT id FROM c)""")

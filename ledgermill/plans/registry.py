@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgermill.plans import problems, reference, reference_views  # noqa: F401  (reference_views adds to reference)
+from ledgermill.plans import problems, reference, reference_context, reference_views  # noqa: F401  (the last two add to reference)
 
 QUERIES = {**problems.QUERIES, **reference.QUERIES}
 ORACLE_SQL = {**problems.ORACLE_SQL, **reference.ORACLE_SQL}

@@ -4,6 +4,9 @@ import json
 import random
 from collections import Counter, defaultdict
 
+from pathlib import Path
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from ledgermill.functions import amounts, fuzzy, text
 from ledgermill.operators import evaluation, graph, retrieval, skew, units
 from ledgermill.plans import registry
+from ledgermill.session import scratch
 from ledgermill.sources import readers, writers
 from ledgermill.streaming import usage
 
@@ -112,12 +116,12 @@ def test_answers_in_crore(spark):
 def test_two_hops_equals_brute_force(spark):
     rnd = random.Random(3)
     es = [(f"e{i}", "R", f"v{rnd.randint(0, 30)}", f"v{rnd.randint(0, 30)}", rnd.choice([None, "FY2021-22"])) for i in range(80)]
-    edges = spark.createDataFrame(es, "edge_id string, rel string, src_id string, dst_id string, fiscal_year string")
+    edges = spark.createDataFrame(es, "edge_id string, rel string, src_id string, dst_id string, fiscal_year string").withColumn("src_type", F.lit("Person")).withColumn("dst_type", F.lit("Company"))
     seeds, hub = {"v1", "v2"}, {"v3"}
     got = {r.edge_id: r.hop for r in graph.two_hops(edges, spark.createDataFrame([(s,) for s in seeds], "id string"), spark.createDataFrame([("v3", 9)], "entity_id string, degree int")).collect()}
     one = {e[0] for e in es if {e[2], e[3]} & seeds}
     frontier = {v for e in es if e[0] in one for v in (e[2], e[3])} - seeds - hub
-    two = {e[0] for e in es if {e[2], e[3]} & frontier}
+    two = {e[0] for e in es if (e[2] in frontier and e[3] not in hub) or (e[3] in frontier and e[2] not in hub)}
     assert got == {e: 1 if e in one else 2 for e in one | two}
 
 
@@ -141,7 +145,11 @@ def test_bootstrap_is_numpys(spark):
     r = evaluation.bootstrap_by(spark.createDataFrame(rows, "qid string, category string, correct double"), "category", "correct", "qid").collect()[0]
     assert (r.low, r.high) == evaluation.bootstrap_interval(v)
     a = spark.createDataFrame(rows, "qid string, category string, correct double")
-    assert evaluation.paired_difference(a, a).collect()[0].verdict == "no difference"
+    got = {r.category: r for r in evaluation.paired_difference(a, a).collect()}
+    assert set(got) == {"c", "overall"} and got["c"].verdict == "no clear difference" and got["c"].low == 0
+    b = spark.createDataFrame([(f"q{i}", "c", 0.0 if i else None) for i in range(4)], a.schema)
+    few = {r.category: r for r in evaluation.paired_difference(a, b).collect()}
+    assert few["overall"].n == 3 and few["overall"].low is None and few["overall"].verdict.startswith("too few")
 
 
 def test_readers_and_writers(spark, tmp_path):
@@ -181,10 +189,36 @@ def test_text_functions(spark):
     assert (r.p, r.c, str(r.fy), r.q, r.n, r.cr) == ("a k rao", "firm and", "2024-03-31", ["net", "profit"], "fin", "₹ 48.20 crore")
 
 
-def test_every_query_runs(spark, data):
+def _plain(v):
+    if hasattr(v, "asDict"):
+        return tuple(_plain(x) for _, x in sorted(v.asDict().items()))
+    if isinstance(v, dict):
+        return tuple(_plain(x) for _, x in sorted(v.items()))
+    if isinstance(v, (list, tuple)):
+        return tuple(map(_plain, v))
+    if isinstance(v, bool) or v is None or isinstance(v, (int, str)):
+        return v
+    try:
+        return float(f"{float(v):.9g}")
+    except (TypeError, ValueError):
+        return str(v)
+
+
+def test_every_query_runs_and_equals_its_sql(spark, data):
+    db = duckdb.connect()
+    for f in Path(data).glob("*.parquet"):
+        db.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
     for name, f in registry.QUERIES.items():
-        assert f(spark, data).columns, name
-    assert registry.flagship(spark, data).count() >= 0
+        with scratch(spark):
+            df = f(spark, data)
+            cols = sorted(df.columns)
+            got = sorted((tuple(_plain(r[c]) for c in cols) for r in df.collect()), key=repr)
+        if name in registry.ORACLE_SQL:
+            out = db.execute(registry.ORACLE_SQL[name])
+            place = [[c[0] for c in out.description].index(c) for c in cols]
+            want = sorted((tuple(_plain(r[i]) for i in place) for r in out.fetchall()), key=repr)
+            assert got == want, name
+    assert registry.flagship(spark, data).count() > 0
 
 
 def test_grounding_repairs_the_page(spark):
