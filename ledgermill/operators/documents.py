@@ -30,8 +30,8 @@ def repeated_edges(pages: DataFrame, share: float = 0.6) -> DataFrame:
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     n = F.size("ls")
     p = page_texts(pages).withColumn("ls", lines).where(n > 0)
-    edge = F.array_distinct(F.transform(F.concat(F.slice("ls", 1, 2), F.slice("ls", F.greatest(n - 1, F.lit(1)), F.lit(2))), lambda x: F.trim(F.regexp_replace(x, "[0-9]+", ""))))
-    hits = p.select("doc_id", F.explode(edge).alias("line")).groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("k"))
+    edge = F.array_distinct(F.transform(F.concat(F.slice("ls", 1, 2), F.slice("ls", F.greatest(n - 1, F.lit(1)), F.lit(2))), lambda x: F.regexp_replace(x, "[0-9]+", "")))
+    hits = p.select("doc_id", F.explode(edge).alias("line")).where("line <> ''").groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("k"))
     total = p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
     return hits.join(total, "doc_id").where(F.col("k") >= share * F.col("n_pages")).select("doc_id", "line", F.col("k").alias("n_hits"), "n_pages")
 
@@ -120,4 +120,4 @@ def cleaned_pages(pages: DataFrame) -> DataFrame:
     lines = F.filter(F.split("text", "\r\n|\r|\n"), lambda x: ~F.array_contains(F.coalesce("furniture", none), bare(x)))
     c = F.regexp_replace(F.array_join(lines, "\n"), r"-\n(?=[a-z])", "")
     c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    return t.select("doc_id", "page_no", F.trim(straight(composed(c))).alias("text"))
+    return t.select("doc_id", "page_no", F.regexp_replace(straight(composed(c)), r"^\s+|\s+$", "").alias("text"))

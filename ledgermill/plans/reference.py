@@ -29,6 +29,10 @@ def edges_of(spark: SparkSession, d: str) -> DataFrame:
     return R.graph_edges(*[table(spark, d, t) for t in ("records", "merge_log", "filings", "entities")])
 
 
+_NORM = "lower(trim(regexp_replace(regexp_replace(translate(replace(replace(replace(replace({0}, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), 'ﬃ', 'ffi'), chr(160) || '‘’“”‐‑‒–—―', ' ''''\"\"------'), '-\\n([a-z])', '\\1', 'g'), '\\s+', ' ', 'g')))"
+_NC = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(" + _NORM + ", '&', ' and '), '\\(.*?\\)', ' ', 'g'), '\\b(limited|ltd|private|pvt|llp|inc|incorporated|co|company|corporation|corp)\\b\\.?', ' ', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_NP = "trim(regexp_replace(regexp_replace(regexp_replace(" + _NORM + ", '\\b(mr|mrs|ms|miss|dr|shri|smt|sri|kum|prof|capt|col|justice|ca|cs)\\b\\.?', ' ', 'g'), '[^a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
 # SQL shared by the graph queries -----------------------------------------------------------------------------------
 
 _LINKS = """links AS (SELECT mention_id, entity_id FROM (SELECT mention_id, entity_id, row_number() OVER (PARTITION BY mention_id ORDER BY logged_at DESC NULLS LAST, log_id DESC NULLS LAST, entity_id DESC NULLS LAST) AS k
@@ -228,14 +232,14 @@ def a1_board_sizes(spark, d):
     return S.board_sizes(table(spark, d, "records"), table(spark, d, "filings"))
 
 
-@query()
+@query(f"""WITH {_F}, s AS (SELECT company_id, coalesce(nullif(payload_json->>'$.fiscal_year', ''), filing_year, '') AS fiscal_year, list_sort(list_distinct(list(" + "NORMALISED" + "))) AS firms FROM r WHERE record_type = 'auditor' AND company_id IS NOT NULL AND trim(payload_json->>'$.firm_name') <> '' GROUP BY ALL)
+  SELECT company_id, fiscal_year, array_to_string(firms, '|') AS firms, coalesce(lag(firms) OVER (PARTITION BY company_id ORDER BY fiscal_year) <> firms, false) AS changed FROM s""".replace('" + "NORMALISED" + "', _NC.format("payload_json->>'$.firm_name'")))
 def a2_auditor_changes(spark, d):
     """A2."""
     return S.auditor_changes(table(spark, d, "records"), table(spark, d, "filings"))
 
 
-@query(f"""WITH {_F}, one AS (SELECT DISTINCT ON (record_id) * FROM r WHERE record_type = 'rpt') SELECT company_id, payload_json->>'$.fiscal_year' AS fiscal_year, count(*) AS n_transactions,
-  round(sum(CAST(payload_json->>'$.amount_inr' AS DOUBLE)) / 1e7, 4) AS total_crore FROM one GROUP BY ALL""")
+@query(f"""WITH {_LAST} SELECT f.company_id, payload_json->>'$.fiscal_year' AS fiscal_year, count(*) AS n_transactions, round(sum(CAST(payload_json->>'$.amount_inr' AS DOUBLE)) / 1e7, 4) AS total_crore FROM acc JOIN fil f USING (doc_id) WHERE record_type = 'rpt' GROUP BY ALL""")
 def a3_transaction_totals(spark, d):
     """A3."""
     return S.transaction_totals(table(spark, d, "records"), table(spark, d, "filings"))
@@ -266,12 +270,25 @@ def a11_outcome_matrix(spark, d):
     return S.outcome_matrix(table(spark, d, "records"))
 
 
-@query("SELECT company_id, doc_type, " + ", ".join(f"count(DISTINCT doc_id) FILTER (fiscal_year = '{y}') AS \"{y}\"" for y in ["FY2019-20", "FY2020-21", "FY2021-22", "FY2022-23", "FY2023-24"]) + " FROM filings GROUP BY ALL")
+_FY = "CASE WHEN regexp_full_match(fiscal_year, '(FY ?)?20[0-9]{2}-[0-9]{2}') THEN 'FY' || right(fiscal_year, 7) WHEN regexp_full_match(fiscal_year, 'FY ?[0-9]{2}') THEN 'FY' || (1999 + CAST(right(fiscal_year, 2) AS INT)) || '-' || right(fiscal_year, 2) ELSE coalesce(fiscal_year, '') END"
+
+
+@query(f"SELECT company_id, doc_type, {_FY} AS fiscal_year, count(DISTINCT doc_id) AS n_documents, count(DISTINCT doc_id) FILTER (status IN ('parsed', 'extracted')) AS n_parsed FROM filings GROUP BY ALL")
 def a28_coverage(spark, d):
-    """A28, J25."""
+    """Filings by company, type and fiscal year in any spelling; years are rows, so none is left out."""
     return S.coverage(table(spark, d, "filings"))
 
 
+@query(f"""WITH {_F}, b AS (SELECT company_id, coalesce(filing_year, '') AS fy, trim(payload_json->>'$.person_name') AS n, bool_or(coalesce(CAST(payload_json->>'$.is_independent' AS BOOLEAN), false)) AS i FROM r WHERE record_type = 'directors' AND company_id IS NOT NULL AND trim(payload_json->>'$.person_name') <> '' GROUP BY ALL),
+  t AS (SELECT 'DIRECTOR_OF' AS topic, company_id || ' had ' || count(*) || CASE WHEN count(*) = 1 THEN ' director' ELSE ' directors' END || ' on record in ' || fy || ', of whom ' || sum(CAST(i AS INT)) || ' are independent.' AS text FROM b GROUP BY company_id, fy
+  UNION ALL SELECT 'SUBSIDIARY_OF', company_id || ' listed ' || count(DISTINCT n) || CASE WHEN count(DISTINCT n) = 1 THEN ' subsidiary' ELSE ' subsidiaries' END || ' in ' || fy || '.' FROM (SELECT company_id, coalesce(filing_year, '') AS fy, trim(payload_json->>'$.subsidiary_name') AS n FROM r WHERE record_type = 'subsidiaries' AND company_id IS NOT NULL) WHERE n <> '' GROUP BY company_id, fy
+  UNION ALL SELECT 'COVERAGE', 'The dataset has ' || (SELECT count(DISTINCT doc_id) FROM filings) || ' documents covering ' || count(DISTINCT company_id) || ' companies and ' || count(DISTINCT filing_year) || ' fiscal years.' FROM r)
+  SELECT topic, text || ' [computed from ' || (SELECT count(DISTINCT record_id) FROM r) || ' accepted records]' AS text FROM t""")
+def a7_statistics(spark, d):
+    """Statistics as texts with their basis."""
+    return S.statistics_texts(table(spark, d, "records"), table(spark, d, "filings"))
+
+
 @query("""SELECT (SELECT count(DISTINCT doc_id) FROM filings) AS n_documents, (SELECT count(DISTINCT doc_id) FROM filings WHERE status IN ('parsed', 'extracted')) AS n_parsed,
   (SELECT count(DISTINCT chunk_id) FROM chunks) AS n_chunks, (SELECT count(DISTINCT record_id) FROM records) AS n_records, (SELECT count(DISTINCT entity_id) FROM entities) AS n_entities""")
 def a8_store_counts(spark, d):
@@ -300,14 +317,13 @@ _PT = "pt AS (SELECT doc_id, page_no, max(coalesce(cleaned_text, text)) AS t FRO
 
 
 @query(f"""WITH {_PT}, l AS (SELECT doc_id, page_no, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM pt), n AS (SELECT * FROM l WHERE len(ls) > 0),
-  e AS (SELECT DISTINCT doc_id, page_no, unnest(list_transform(list_concat(ls[1:2], ls[greatest(len(ls) - 1, 1):]), lambda x: trim(regexp_replace(x, '[0-9]+', '', 'g')))) AS line FROM n)
-  SELECT doc_id, line, count(*) AS n_hits, (SELECT count(*) FROM n m WHERE m.doc_id = e.doc_id) AS n_pages FROM e GROUP BY doc_id, line HAVING count(*) >= 0.6 * n_pages""")
+  e AS (SELECT DISTINCT doc_id, page_no, unnest(list_transform(list_concat(ls[1:2], ls[greatest(len(ls) - 1, 1):]), lambda x: regexp_replace(x, '[0-9]+', '', 'g'))) AS line FROM n)
+  SELECT doc_id, line, count(*) AS n_hits, (SELECT count(*) FROM n m WHERE m.doc_id = e.doc_id) AS n_pages FROM e WHERE line <> '' GROUP BY doc_id, line HAVING count(*) >= 0.6 * n_pages""")
 def a27_repeated_edges(spark, d):
     """A27."""
     return documents.repeated_edges(table(spark, d, "parsed_pages"))
 
 
-_NORM = "lower(trim(regexp_replace(regexp_replace(translate(replace(replace(replace(replace({0}, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), 'ﬃ', 'ffi'), chr(160) || '‘’“”‐‑‒–—―', ' ''''\"\"------'), '-\\n([a-z])', '\\1', 'g'), '\\s+', ' ', 'g')))"
 _SECTIONS = f"""{_PT}, nt AS (SELECT doc_id, page_no, {_NORM.format('t')} AS n FROM pt), words AS (SELECT * FROM (VALUES """ + ", ".join("({}, '{}', '{}', {})".format(i, k, w.replace("'", "''"), documents.SECTION_LENGTHS[k]) for i, (k, ws) in enumerate(documents.SECTION_WORDS.items()) for w in ws) + """) AS v(nth, kind, w, most)),
   st AS (SELECT doc_id, nth, most, CASE WHEN kind <> 'related_party' THEN kind WHEN contains(n, 'consolidated') THEN 'related_party_consolidated' ELSE 'related_party_standalone' END AS kind, min(page_no) AS page_start FROM nt JOIN words ON contains(n, w) GROUP BY ALL),
   sec AS (SELECT doc_id, kind, page_start, least(page_start + most, CASE WHEN nxt > page_start THEN nxt - 1 ELSE 1000000 END, last_page) AS page_end FROM (SELECT *, lead(page_start) OVER (PARTITION BY doc_id ORDER BY page_start, nth, kind) AS nxt FROM st) JOIN (SELECT doc_id, max(page_no) AS last_page FROM nt GROUP BY 1) USING (doc_id))"""
@@ -379,8 +395,6 @@ def a23_canonical_names(spark, d):
     return resolve.canonical_names(table(spark, d, "mentions"), R.latest_links(table(spark, d, "merge_log")))
 
 
-_NC = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(" + _NORM + ", '&', ' and '), '\\(.*?\\)', ' ', 'g'), '\\b(limited|ltd|private|pvt|llp|inc|incorporated|co|company|corporation|corp)\\b\\.?', ' ', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
-_NP = "trim(regexp_replace(regexp_replace(regexp_replace(" + _NORM + ", '\\b(mr|mrs|ms|miss|dr|shri|smt|sri|kum|prof|capt|col|justice|ca|cs)\\b\\.?', ' ', 'g'), '[^a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query(f"""WITH {_LAST}, nm AS (SELECT substr(entity_id, 3) AS company_id, max(canonical_name) AS name FROM entities WHERE kind = 'company' GROUP BY 1), r AS (SELECT a.record_id, a.record_type AS t, a.payload_json AS p, f.company_id, n.name FROM acc a JOIN fil f USING (doc_id) LEFT JOIN nm n USING (company_id) WHERE record_type IN ('directors', 'rpt', 'auditor', 'subsidiaries')),
@@ -423,11 +437,11 @@ def w2_bm25(spark, d):
 
 
 def _vector_hits(spark, d, k):
-    v = table(spark, d, "embeddings").where("vec_id is not null and embedding is not null").dropDuplicates(["vec_id"])
+    v = table(spark, d, "embeddings").where("vec_id is not null and embedding is not null").groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
     return retrieval.vector_top_k(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), k)
 
 
-@query("""WITH v AS (SELECT DISTINCT ON (vec_id) vec_id, embedding FROM embeddings ORDER BY vec_id), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM v q, v WHERE q.vec_id % 20 = 0),
+@query("""WITH v AS (SELECT vec_id, max(embedding) AS embedding FROM embeddings GROUP BY vec_id), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM v q, v WHERE q.vec_id % 20 = 0),
   k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, rank FROM k WHERE rank <= 10""")
 def w1_vector_top_k(spark, d):
     """Exact search of every twentieth vector against all."""
