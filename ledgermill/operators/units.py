@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgermill.functions.amounts import read_amount, read_unit
+from ledgermill.session import cut_lineage
 
 #: Conversion factors a missing unit may have; their logarithms are the offsets of the mixture's components.
 FACTORS = [1.0, 1e3, 1e5, 1e6, 1e7, 1e9]
@@ -106,7 +107,7 @@ def transaction_amounts(records: DataFrame, rates: DataFrame) -> DataFrame:
     rpt = records.where("record_type = 'rpt'").select("record_id", p.alias("p")).select("record_id", "p.*").withColumn("quote", F.col("evidence.quote")).drop("evidence")
     read = F.pandas_udf(_stated, _READ)
     parsed = rpt.withColumn("a", read("amount_raw", "quote")).select("record_id", "amount_inr", "amount_raw", "fiscal_year", "a.*")
-    return _to_rupees(parsed, rates).drop("fiscal_year")
+    return _to_rupees(cut_lineage(parsed), rates).drop("fiscal_year")  # read once, used by the fit and the result
 
 
 def _to_rupees(parsed: DataFrame, rates: DataFrame) -> DataFrame:
