@@ -240,3 +240,41 @@ def x40_marker_tokens(spark, d):
     """An answer cut at its evidence markers."""
     t = answers.marker_tokens(F.concat(F.lit("As of "), "qid", F.lit(" [E1, E2] done.")))
     return table(spark, d, "questions").where("qid is not null").select("qid", t.alias("t")).select("qid", F.transform("t", lambda x: x["kind"]).alias("kinds"), F.transform("t", lambda x: x["value"]).alias("vals")).distinct()
+
+
+# links of chunks and spend -------------------------------------------------------------------------------------------
+
+_MENTIONS = """c AS (SELECT chunk_id, concat(' ', trim(regexp_replace(lower(max(text)), '[^a-z0-9]+', ' ', 'g')), ' ') AS t FROM chunks WHERE text IS NOT NULL GROUP BY chunk_id),
+  ep AS (SELECT DISTINCT entity_id, trim(regexp_replace(lower(canonical_name), '[^a-z0-9]+', ' ', 'g')) AS p FROM entities), ph AS (SELECT DISTINCT chunk_id, entity_id FROM c JOIN ep ON p LIKE '% %' AND contains(t, concat(' ', p, ' '))),
+  pg AS (SELECT DISTINCT r.doc_id, CAST(r.payload_json->>'$.evidence.page' AS INT) AS page, m.entity_id FROM records r JOIN merge_log m ON split_part(m.mention_id, ':', 1) = r.record_id WHERE r.status IN ('accepted', 'fixed') AND m.entity_id IS NOT NULL),
+  ov AS (SELECT DISTINCT chunk_id, entity_id FROM pg JOIN chunks k ON k.doc_id = pg.doc_id AND page BETWEEN least(coalesce(page_start, page_end), page_end) AND page_end), men AS (SELECT * FROM ph UNION SELECT * FROM ov)"""
+
+
+def chunk_mentions(spark, d):
+    """(chunk_id, entity_id): entities whose name a chunk holds, or whose record has its evidence on one of its pages."""
+    ch, rec = table(spark, d, "chunks"), R.accepted(table(spark, d, "records"))
+    links = table(spark, d, "merge_log").where("entity_id is not null").select(F.substring_index("mention_id", ":", 1).alias("record_id"), "entity_id").distinct()
+    overlap = documents.evidence_chunks(rec, ch).join(links, "record_id").select("chunk_id", "entity_id")
+    return documents.phrase_mentions(ch, table(spark, d, "entities")).unionByName(overlap).distinct()
+
+
+@query(f"WITH {_MENTIONS} SELECT (SELECT count(DISTINCT chunk_id) FROM chunks) AS n_chunks, (SELECT count(DISTINCT chunk_id) FROM men) AS n_linked, round(100.0 * (SELECT count(DISTINCT chunk_id) FROM men) / (SELECT count(DISTINCT chunk_id) FROM chunks), 1) AS pct")
+def a30_mention_coverage(spark, d):
+    """Share of chunks linked to an entity by name or page."""
+    n = table(spark, d, "chunks").agg(F.count_distinct("chunk_id").alias("n_chunks"))
+    m = chunk_mentions(spark, d).agg(F.count_distinct("chunk_id").alias("n_linked"))
+    return n.crossJoin(m).withColumn("pct", F.round(100.0 * F.col("n_linked") / F.col("n_chunks"), 1))  # one row each
+
+
+@query(f"WITH {_MENTIONS}, {_SEEDS} SELECT entity_id, chunk_id FROM men WHERE entity_id IN (SELECT id FROM seeds)")
+def j20_linked_chunks(spark, d):
+    """Chunks that mention the linked entities."""
+    return chunk_mentions(spark, d).join(_seeds(spark, d).select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select("entity_id", "chunk_id")
+
+
+@query("SELECT event_id, before, before < 500 AS allowed FROM (SELECT event_id, round(coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS before FROM events)")
+def t5_spend_cap(spark, d):
+    """T5: a call is rejected once the user's spend before it has reached the cap."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    e = table(spark, d, "events").select("event_id", F.round(F.coalesce(F.sum("value").over(w), F.lit(0.0)), 4).alias("before"))
+    return e.withColumn("allowed", F.col("before") < 500)
