@@ -37,31 +37,34 @@ def ranked_facts(scored: DataFrame, requested: list[str], max_facts: int = 40, m
     """scored (group, edge_id, rel, dst_id, score) capped at max_facts a group, with rank: best first, a transaction's edges as one unit.
 
     Of every requested relation the best min_per_relation units come first, then the best others, each if it still
-    fits; an ordered fold over a group's units, of which only size, relation and score take part.
+    fits; an ordered fold over a group's units, of which only size, relation and score take part. What the fold takes of
+    one relation and size are the best of them, so that max_facts of each are all it can take, and no others reach it.
     """
-    unit = F.when(F.col("rel") == "PARTY_TO", F.col("dst_id")).otherwise(F.col("edge_id"))
-    u = scored.withColumn("unit", unit).dropDuplicates([group, "edge_id"])
-    units = u.groupBy(group, "unit").agg(F.max("score").alias("score"), F.min("edge_id").alias("first"), F.count(F.lit(1)).alias("size"), F.first("rel").alias("rel"))
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["score", "first"], ascending=[False, True]).reset_index(drop=True)
-        taken, used = set(), 0
-        for rel in [*sorted(requested), None]:
-            reserved = 0
-            for i, (r, n) in enumerate(zip(p["rel"], p["size"])):
-                if rel is not None and reserved >= min_per_relation:
-                    break
-                if i not in taken and (rel is None or r == rel) and used + n <= max_facts:
-                    taken.add(i)
-                    used, reserved = used + n, reserved + 1
-        keep = p.loc[sorted(taken), [group, "unit"]].copy()
-        keep["place"] = range(1, len(keep) + 1)
-        return keep
-
-    types = dict(scored.dtypes)
-    kept = units.groupBy(group).applyInPandas(choose, f"{group} {types[group]}, unit string, place int")
-    w = Window.partitionBy(group).orderBy("place", "edge_id")
-    return u.join(kept, [group, "unit"]).withColumn("rank", F.row_number().over(w)).drop("unit", "place")
+    rest = [c for c in scored.columns if c != group]
+    u = scored.dropDuplicates([group, "edge_id"]).withColumn("unit", F.when(F.col("rel") == "PARTY_TO", F.col("dst_id")).otherwise(F.col("edge_id"))).where("unit is not null")
+    units = u.groupBy(group, "unit").agg((-F.max("score")).alias("low"), F.min("edge_id").alias("first"), F.count(F.lit(1)).cast("int").alias("size"), F.first("rel").alias("unit_rel"), F.collect_list(F.struct(*rest)).alias("edges"))
+    able = units.withColumn("k", F.row_number().over(Window.partitionBy(group, "unit_rel", "size").orderBy("low", "first"))).where(F.col("k") <= max_facts)
+    packed = able.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("low", "first", "unit_rel", "size", "edges"))).alias("xs"))
+
+    @F.pandas_udf("array<int>")
+    def choose(rels: pd.Series, sizes: pd.Series) -> pd.Series:
+        def one(rs, ns) -> list[int]:
+            taken, used = set(), 0
+            for rel in [*sorted(requested), None]:
+                reserved = 0
+                for i, (r, n) in enumerate(zip(rs, ns)):
+                    if rel is not None and reserved >= min_per_relation:
+                        break
+                    if i not in taken and (rel is None or r == rel) and used + n <= max_facts:
+                        taken.add(i)
+                        used, reserved = used + int(n), reserved + 1
+            return sorted(taken)
+
+        return pd.Series([one(r, n) for r, n in zip(rels, sizes)])
+
+    kept = packed.select(group, F.transform(choose("xs.unit_rel", "xs.size"), lambda i: F.get(F.col("xs.edges"), i)).alias("kept"))
+    out = kept.select(group, F.posexplode("kept").alias("place", "es")).select(group, "place", F.explode("es").alias("x")).select(group, "place", "x.*")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("place", "edge_id"))).select(*scored.columns, "rank")
 
 
 def split_budget(primary: DataFrame, secondary: DataFrame, total: int, share: float, group: str = "query_id") -> DataFrame:
@@ -145,6 +148,6 @@ def statistics_pack(texts: DataFrame, wanted: list[str]) -> DataFrame:
     return texts.withColumn("rank", F.row_number().over(Window.orderBy(first, "n")))  # a report of one data set
 
 
-def chunk_evidence(hits: DataFrame) -> DataFrame:
-    """(query_id, rank, ref_id, tokens): retrieved chunks as evidence items."""
-    return hits.select("query_id", "rank", F.col("doc_id").alias("ref_id"), estimate_tokens(F.col("text")).alias("tokens"))
+def chunk_evidence(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, rank, ref_id, tokens): retrieved chunks (doc_id, text) as evidence items; only the texts' lengths meet the hits."""
+    return hits.join(chunks.select("doc_id", estimate_tokens(F.col("text")).alias("tokens")), "doc_id").select("query_id", "rank", F.col("doc_id").alias("ref_id"), "tokens")

@@ -148,19 +148,31 @@ def w11_fact_scores(spark, d):
 
 
 def question_facts(spark, d):
-    """Facts around the entities that each question names, scored by its own relations and year."""
-    linked = cut_lineage(_linked(spark, d).select("query_id", F.col("entity_id").alias("seed")))
-    q = _questions(spark, d).select("query_id", X.relations_asked(F.col("query")).alias("asked"), X.fiscal_year_of(F.col("query")).alias("year"))
-    near = graph.neighbours(edges_of(spark, d), linked.select(F.col("seed").alias("id")))
-    f = near.join(linked, "seed").join(q, "query_id")
+    """(facts, askers): facts around the entities that questions name, scored by the relations and year asked for, once for
+    all questions that name and ask the same: facts have the number ask, askers (query_id, ask)."""
+    linked = _linked(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_set("entity_id")).alias("seeds"))
+    q = _questions(spark, d).select("query_id", X.relations_asked(F.col("query")).alias("asked"), F.coalesce(X.fiscal_year_of(F.col("query")), F.lit("")).alias("year"))
+    what = ["seeds", "asked", "year"]
+    named = cut_lineage(linked.join(q, "query_id"))
+    asks = cut_lineage(named.select(*what).distinct().withColumn("ask", F.monotonically_increasing_id()))
+    each = asks.select("ask", "asked", F.nullif("year", F.lit("")).alias("year"), F.explode("seeds").alias("seed"))
+    edges = cut_lineage(edges_of(spark, d).select("edge_id", "rel", "src_id", "src_type", "dst_id", "dst_type", "fiscal_year"))
+    f = graph.neighbours(edges, each.select(F.col("seed").alias("id"))).join(each, "seed")
     score = F.when(F.col("touches"), 3.0).otherwise(0.0) + F.when(F.array_contains("asked", F.col("rel")), 2.0).otherwise(0.0) + F.when(F.coalesce(F.col("fiscal_year") == F.col("year"), F.lit(False)), 1.5).otherwise(0.0) + 1.0
-    return f.withColumn("score", score).groupBy("query_id", "edge_id", "rel", "dst_id").agg(F.max("score").alias("score"))
+    facts = f.select("ask", "edge_id", "rel", "dst_id", score.alias("score")).repartition("ask").groupBy("ask", "edge_id", "rel", "dst_id").agg(F.max("score").alias("score"))
+    return facts, named.join(asks, what).select("query_id", "ask")
+
+
+def question_ranked_facts(spark, d, requested):
+    """question_facts ranked and capped, given back to every question."""
+    facts, askers = question_facts(spark, d)
+    return askers.join(context.ranked_facts(facts, requested, group="ask"), "ask").drop("ask")
 
 
 @query()
 def w12_ranked_facts(spark, d):
     """Facts of every question, ranked and capped with places kept for asked relations; brute force in the tests."""
-    return context.ranked_facts(question_facts(spark, d), ["AUDITED_BY", "DIRECTOR_OF"])
+    return question_ranked_facts(spark, d, ["AUDITED_BY", "DIRECTOR_OF"])
 
 
 @query(_EDGES + f""", {_LABELS}, e AS (SELECT edges.*, src_type || ': ' || coalesce(a.name, src_id) AS l, dst_type || ': ' || coalesce(b.name, dst_id) AS r, '  source: doc ' || left(doc_id, 12) || '…, p.' || page || CASE WHEN quote <> '' THEN ' | quote: "' || quote || '"' ELSE '' END AS source FROM edges LEFT JOIN lab a ON a.entity_id = src_id LEFT JOIN lab b ON b.entity_id = dst_id),
@@ -192,11 +204,10 @@ def j17_resolved_citations(spark, d):
 @query()
 def w14_split_budget(spark, d):
     """Facts first up to their share of 4000 tokens, chunks in the rest; brute force in the tests."""
-    facts = context.ranked_facts(question_facts(spark, d), [])
-    t = context.fact_texts(edges_of(spark, d), graph.entity_labels(table(spark, d, "entities"))).select(F.explode(F.split("ref_id", ",")).alias("edge_id"), "text")
-    primary = facts.join(t, "edge_id").select("query_id", "rank", X.estimate_tokens(F.col("text")).alias("tokens"), F.col("edge_id").alias("ref_id"))
-    hits = retrieval.bm25(_chunk_texts(spark, d), _questions(spark, d), 20).join(_chunk_texts(spark, d), "doc_id")
-    return context.split_budget(cut_lineage(primary), context.chunk_evidence(hits), 4000, 0.6)
+    t = context.fact_texts(edges_of(spark, d), graph.entity_labels(table(spark, d, "entities"))).select(F.explode(F.split("ref_id", ",")).alias("edge_id"), X.estimate_tokens(F.col("text")).alias("tokens"))
+    primary = question_ranked_facts(spark, d, []).join(t, "edge_id").select("query_id", "rank", "tokens", F.col("edge_id").alias("ref_id"))
+    texts = _chunk_texts(spark, d)
+    return context.split_budget(cut_lineage(primary), context.chunk_evidence(retrieval.bm25(texts, _questions(spark, d), 20), texts), 4000, 0.6)
 
 
 # scalar functions of answers -----------------------------------------------------------------------------------------
