@@ -110,7 +110,8 @@ def transaction_amounts(records: DataFrame, rates: DataFrame) -> DataFrame:
     return _to_rupees(cut_lineage(parsed), rates).drop("fiscal_year")  # read once, used by the fit and the result
 
 
-def _to_rupees(parsed: DataFrame, rates: DataFrame) -> DataFrame:
+def _to_rupees(parsed: DataFrame, rates: DataFrame, may_miss: str = "true") -> DataFrame:
+    """parsed in rupees; rows without a unit where one may_miss (an expression) get it from the mixture."""
     year = F.concat(F.lit("FY"), F.regexp_extract("fiscal_year", r"(\d{4}-\d{2})", 1))
     # rates is a table of currencies and years that does not grow with the data
     r = F.broadcast(rates.groupBy("currency", "fiscal_year").agg(F.max("inr_per_unit").alias("rate")).withColumnRenamed("fiscal_year", "__fy"))
@@ -118,9 +119,9 @@ def _to_rupees(parsed: DataFrame, rates: DataFrame) -> DataFrame:
     df = df.join(r, ["currency", "__fy"], "left").drop("__fy")
     df = df.withColumn("rate", F.when(F.coalesce("currency", F.lit("INR")) == "INR", F.lit(1.0)).otherwise(F.col("rate")))
     known = df.where("factor is not null").select("factor", F.abs(F.col("value") * F.col("factor") * F.col("rate")).alias("rupees"))
-    unknown = df.where("factor is null and value is not null").select(F.abs("value").alias("value"))
+    unknown = df.where(f"factor is null and value is not null and {may_miss}").select(F.abs("value").alias("value"))
     best = F.array_max(posteriors(F.col("value"), fit_scales(known, unknown)))
-    guess = F.col("factor").isNull() & F.col("value").isNotNull() & (F.col("value") != 0)
+    guess = F.col("factor").isNull() & F.col("value").isNotNull() & (F.col("value") != 0) & F.expr(may_miss)
     df = df.withColumn("__best", F.when(guess, best))
     return df.select(
         *[c for c in parsed.columns if c not in ("factor", "basis")],
@@ -136,13 +137,15 @@ def misstated_transactions(amounts: DataFrame, tolerance: float = 0.01) -> DataF
     return amounts.where(F.col("basis").isin("raw", "quote") & F.col("amount_inr").isNotNull() & (F.abs(F.col("amount_inr") - F.col("rupees")) > tolerance * F.abs("rupees")))
 
 
-_MONEY = "struct<value:double,factor:double,currency:string,basis:string>"
+_MONEY = "struct<value:double,factor:double,currency:string,basis:string,missing:boolean>"
+#: Questions after a count or a share, whose answers are no money.
+_NO_MONEY = re.compile(r"\bhow many\b|\bpercent(?:age)?s?\b|%|\bnumber of\b|\bratio\b", re.I)
 
 
 def _answer(gold: pd.Series, unit: pd.Series, question: pd.Series, kind: pd.Series) -> pd.DataFrame:
     out = []
     for g, u, q, k in zip(gold, unit, question, kind):
-        row = {"value": None, "factor": None, "currency": None, "basis": None}
+        row = {"value": None, "factor": None, "currency": None, "basis": None, "missing": False}
         if isinstance(g, str) and k in (None, "number"):
             a = read_amount(g)
             row["value"] = a.value
@@ -158,26 +161,26 @@ def _answer(gold: pd.Series, unit: pd.Series, question: pd.Series, kind: pd.Seri
                 f, c = read_unit(m.group(1)) if m else (None, None)
                 if f is not None:
                     row |= {"factor": f, "currency": a.currency or c, "basis": "question"}
+            if not has_unit and row["factor"] is None and not (isinstance(q, str) and _NO_MONEY.search(q)):
+                row |= {"currency": a.currency, "missing": True}
         out.append(row)
-    return pd.DataFrame(out, columns=["value", "factor", "currency", "basis"])
+    return pd.DataFrame(out, columns=["value", "factor", "currency", "basis", "missing"])
 
 
 def answer_amounts(questions: DataFrame, rates: DataFrame) -> DataFrame:
-    """One row per question with a number: qid, value, factor, currency, basis, rupees, crore.
+    """One row per question with a number: qid, value, factor, currency, basis, posterior, uncertain, rupees, crore.
 
-    The unit is that of gold_unit, else of gold_answer, else of the question. A gold_unit that is no money (shares, %)
-    and no stated unit give null basis and null amounts. Foreign currency counts by the fiscal year in the question.
+    The unit is that of gold_unit, else of gold_answer, else of the question. Where none is stated it is the mixture's
+    most probable factor, as in transaction_amounts, with its posterior and uncertain. A gold_unit that is no money
+    (shares, %), and a question after a count or a share without unit, give null basis and null amounts. Foreign currency counts by the fiscal year in the question.
     """
     read = F.pandas_udf(_answer, _MONEY)
     q = questions.select("qid", "gold_answer", "gold_unit", "question", "answer_type").withColumn("a", read("gold_answer", "gold_unit", "question", "answer_type"))
     q = q.select("qid", F.regexp_extract("question", r"(\d{4}-\d{2})", 1).alias("fiscal_year"), "a.*").where("value is not null")
-    r = F.broadcast(rates.groupBy("currency", F.col("fiscal_year").alias("__fy")).agg(F.max("inr_per_unit").alias("rate")))
-    q = q.withColumn("currency", F.when(F.col("factor").isNotNull(), F.coalesce("currency", F.lit("INR")))).withColumn("__fy", F.concat(F.lit("FY"), "fiscal_year"))
-    q = q.join(r, ["currency", "__fy"], "left").withColumn("rate", F.when(F.col("currency") == "INR", F.lit(1.0)).otherwise(F.col("rate")))
-    rupees = F.col("value") * F.col("factor") * F.col("rate")
-    return q.select("qid", "value", "factor", "currency", "basis", rupees.alias("rupees"), (rupees / 1e7).alias("crore"))
+    t = _to_rupees(cut_lineage(q), rates, "missing")
+    return t.select("qid", "value", "factor", "currency", "basis", "posterior", "uncertain", "rupees", (F.col("rupees") / 1e7).alias("crore"))
 
 
 def answers_not_in_crore(amounts: DataFrame) -> DataFrame:
     """Rows of answer_amounts whose stated unit is another than crore of rupees."""
-    return amounts.where("basis is not null and not (factor = 1e7 and currency = 'INR')")
+    return amounts.where("basis is not null and basis <> 'mixture' and not (factor = 1e7 and currency = 'INR')")
