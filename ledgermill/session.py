@@ -110,6 +110,6 @@ def ship_package(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; Parquet keeps pushdown and pruning. Prepares the session for this package's operators."""
     ship_package(spark)
-    if spark.conf.get(UNION_PARTITIONING, "false") != "false":
+    if spark.conf.get(UNION_PARTITIONING, None) != "false":  # unset, Spark's own default of true holds
         spark.conf.set(UNION_PARTITIONING, "false")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
