@@ -12,6 +12,8 @@ from ledgermill.operators.retrieval import fit_budget
 #: Weights of a fact's score.
 TOUCHES, ASKED, YEAR, FIRST_HOP, NAMED, IN_DATASET = 3.0, 2.0, 1.5, 1.0, 1.0, 0.5
 MIN_NAME = 4
+#: Fixed value: facts of a question.
+MAX_FACTS = 40
 
 
 def fact_scores(facts: DataFrame, linked: DataFrame, question: Column, relations: list[str], years: list[str], labels: DataFrame, dataset: DataFrame) -> DataFrame:
@@ -33,16 +35,48 @@ def fact_scores(facts: DataFrame, linked: DataFrame, question: Column, relations
     return out.withColumn("score", score).select(*facts.columns, "score")
 
 
-def ranked_facts(scored: DataFrame, requested: list[str], max_facts: int = 40, min_per_relation: int = 3, group: str = "query_id") -> DataFrame:
-    """scored (group, edge_id, rel, dst_id, score) capped at max_facts a group, with rank: best first, a transaction's edges as one unit.
+def _unit() -> Column:
+    return F.when(F.col("rel") == "PARTY_TO", F.col("dst_id")).otherwise(F.col("edge_id"))
+
+
+def seed_units(near: DataFrame, ends: Column, max_facts: int = MAX_FACTS) -> DataFrame:
+    """(seed, first, size, unit_rel, unit_year, edges, holders, of_year, of_all): units of near (seed, edge_id, rel, dst_id, fiscal_year, ...)
+    without those that ranked_units can't take, whatever is asked; holders: the ends of its edges; of_year, of_all: its place, by
+    first, among the seed's units of its relation and size, of its year and of all years.
+
+    For scores that depend on a unit's relation and year alone: the max_facts first of one relation, size and year come
+    before all others. A unit's edges share relation and year, and all of them come with each of its seeds.
+    """
+    rest = [c for c in near.columns if c != "seed"]
+    units = near.withColumn("unit", _unit()).where("unit is not null").groupBy("seed", "unit").agg(
+        F.min("edge_id").alias("first"), F.count(F.lit(1)).cast("int").alias("size"), F.first("rel").alias("unit_rel"), F.first("fiscal_year").alias("unit_year"),
+        F.collect_list(F.struct(*rest)).alias("edges"), F.array_distinct(F.flatten(F.collect_list(ends))).alias("holders"))
+    w = Window.partitionBy("seed", "unit_rel", "size")
+    able = units.drop("unit").withColumn("of_year", F.row_number().over(w.partitionBy("seed", "unit_rel", "size", "unit_year").orderBy("first"))).where(F.col("of_year") <= max_facts)
+    return able.withColumn("of_all", F.row_number().over(w.orderBy("first")))
+
+
+def takeable(year: Column, seeds: Column, max_facts: int = MAX_FACTS) -> Column:
+    """Whether a question with this year (or null) can take a unit of seed_units by its seed; of several seeds that hold it, by the least."""
+    place = (F.col("of_all") <= max_facts) | F.coalesce(F.col("unit_year") == year, F.lit(False))
+    return place & (F.col("seed") == F.array_min(F.array_intersect(F.col("holders"), seeds)))
+
+
+def ranked_facts(scored: DataFrame, requested: list[str], max_facts: int = MAX_FACTS, min_per_relation: int = 3, group: str = "query_id") -> DataFrame:
+    """scored (group, edge_id, rel, dst_id, score) capped at max_facts a group, with rank: best first, a transaction's edges as one unit, by ranked_units."""
+    rest = [c for c in scored.columns if c != group]
+    u = scored.dropDuplicates([group, "edge_id"]).withColumn("unit", _unit()).where("unit is not null")
+    units = u.groupBy(group, "unit").agg((-F.max("score")).alias("low"), F.min("edge_id").alias("first"), F.count(F.lit(1)).cast("int").alias("size"), F.first("rel").alias("unit_rel"), F.collect_list(F.struct(*rest)).alias("edges"))
+    return ranked_units(units, requested, max_facts, min_per_relation, group).select(*scored.columns, "rank")
+
+
+def ranked_units(units: DataFrame, requested: list[str], max_facts: int = MAX_FACTS, min_per_relation: int = 3, group: str = "query_id") -> DataFrame:
+    """(group, columns of edges, rank): edges of units (group, low, first, size, unit_rel, edges) capped at max_facts a group, the least low and first first.
 
     Of every requested relation the best min_per_relation units come first, then the best others, each if it still
     fits; an ordered fold over a group's units, of which only size, relation and score take part. What the fold takes of
     one relation and size are the best of them, so that max_facts of each are all it can take, and no others reach it.
     """
-    rest = [c for c in scored.columns if c != group]
-    u = scored.dropDuplicates([group, "edge_id"]).withColumn("unit", F.when(F.col("rel") == "PARTY_TO", F.col("dst_id")).otherwise(F.col("edge_id"))).where("unit is not null")
-    units = u.groupBy(group, "unit").agg((-F.max("score")).alias("low"), F.min("edge_id").alias("first"), F.count(F.lit(1)).cast("int").alias("size"), F.first("rel").alias("unit_rel"), F.collect_list(F.struct(*rest)).alias("edges"))
     able = units.withColumn("k", F.row_number().over(Window.partitionBy(group, "unit_rel", "size").orderBy("low", "first"))).where(F.col("k") <= max_facts)
     packed = able.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("low", "first", "unit_rel", "size", "edges"))).alias("xs"))
 
@@ -64,7 +98,7 @@ def ranked_facts(scored: DataFrame, requested: list[str], max_facts: int = 40, m
 
     kept = packed.select(group, F.transform(choose("xs.unit_rel", "xs.size"), lambda i: F.get(F.col("xs.edges"), i)).alias("kept"))
     out = kept.select(group, F.posexplode("kept").alias("place", "es")).select(group, "place", F.explode("es").alias("x")).select(group, "place", "x.*")
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("place", "edge_id"))).select(*scored.columns, "rank")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("place", "edge_id"))).drop("place")
 
 
 def split_budget(primary: DataFrame, secondary: DataFrame, total: int, share: float, group: str = "query_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgermill.session import cut_lineage
 
@@ -10,6 +10,15 @@ from ledgermill.session import cut_lineage
 _SEEDED = ("Company", "Person", "AuditFirm")
 
 
+def seeded(vertex_type: str) -> Column:
+    return F.col(vertex_type).isin(*_SEEDED)
+
+
+def seeded_ends() -> Column:
+    """The ends of an edge that can be seeds."""
+    return F.filter(F.array(F.when(seeded("src_type"), F.col("src_id")), F.when(seeded("dst_type"), F.col("dst_id"))), lambda x: x.isNotNull())
+
+
 def neighbours(edges: DataFrame, seeds: DataFrame, relations: list[str] | None = None, excluded: DataFrame | None = None) -> DataFrame:
     """Edges touching a seed (id) with seed and other, both directions, once a seed; other is not in excluded (id).
 
@@ -18,7 +27,7 @@ def neighbours(edges: DataFrame, seeds: DataFrame, relations: list[str] | None =
     """
     e = edges if relations is None else edges.where(F.col("rel").isin(*relations))
     ends = F.array(F.struct(F.col("src_id").alias("seed"), F.col("src_type").alias("seed_type"), F.col("dst_id").alias("other")), F.struct(F.col("dst_id").alias("seed"), F.col("dst_type").alias("seed_type"), F.col("src_id").alias("other")))
-    by_end = e.withColumn("x", F.explode(ends)).select(*e.columns, "x.*").where(F.col("seed_type").isin(*_SEEDED)).drop("seed_type")
+    by_end = e.withColumn("x", F.explode(ends)).select(*e.columns, "x.*").where(seeded("seed_type")).drop("seed_type")
     near = by_end.join(seeds.select(F.col("id").alias("seed")).distinct(), "seed", "left_semi")
     if excluded is not None:
         near = near.join(excluded.select(F.col("id").alias("other")).distinct(), "other", "left_anti")

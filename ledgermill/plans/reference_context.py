@@ -156,26 +156,37 @@ def w11_fact_scores(spark, d):
     return s.select("edge_id", "rel", "score")
 
 
-def question_facts(spark, d):
-    """(facts, askers): facts around the entities that questions name, scored by the relations and year asked for, once for
-    all questions that name and ask the same: facts have the number ask, askers (query_id, ask)."""
+def question_units(spark, d, edges=None):
+    """(units, askers): units of facts around the entities that questions name, scored by the relations and year asked for, once
+    for all questions that name and ask the same: units have the number ask, askers (query_id, ask). Without units that
+    ranked_units can't take. edges: edges_of, written."""
     linked = _linked(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_set("entity_id")).alias("seeds"))
     q = _questions(spark, d).select("query_id", X.relations_asked(F.col("query")).alias("asked"), F.coalesce(X.fiscal_year_of(F.col("query")), F.lit("")).alias("year"))
     what = ["seeds", "asked", "year"]
     named = cut_lineage(linked.join(q, "query_id"))
     asks = cut_lineage(named.select(*what).distinct().withColumn("ask", F.monotonically_increasing_id()))
-    each = asks.select("ask", "asked", F.nullif("year", F.lit("")).alias("year"), F.explode("seeds").alias("seed"))
-    edges = cut_lineage(edges_of(spark, d).select("edge_id", "rel", "src_id", "src_type", "dst_id", "dst_type", "fiscal_year"))
-    f = graph.neighbours(edges, each.select(F.col("seed").alias("id"))).join(each, "seed")
-    score = F.when(F.col("touches"), 3.0).otherwise(0.0) + F.when(F.array_contains("asked", F.col("rel")), 2.0).otherwise(0.0) + F.when(F.coalesce(F.col("fiscal_year") == F.col("year"), F.lit(False)), 1.5).otherwise(0.0) + 1.0
-    facts = f.select("ask", "edge_id", "rel", "dst_id", score.alias("score")).repartition("ask").groupBy("ask", "edge_id", "rel", "dst_id").agg(F.max("score").alias("score"))
-    return facts, named.join(asks, what).select("query_id", "ask")
+    each = asks.select("ask", "asked", F.nullif("year", F.lit("")).alias("year"), "seeds", F.explode("seeds").alias("seed"))
+    columns = ["edge_id", "rel", "src_id", "src_type", "dst_id", "dst_type", "fiscal_year"]
+    edges = cut_lineage(edges_of(spark, d).select(*columns)) if edges is None else edges.select(*columns)
+    near = graph.neighbours(edges, each.select(F.col("seed").alias("id"))).select("seed", "edge_id", "rel", "dst_id", "fiscal_year", graph.seeded_ends().alias("ends"))
+    units = cut_lineage(context.seed_units(near, F.col("ends")))
+    u = units.join(each, "seed").where(context.takeable(F.col("year"), F.col("seeds")))
+    asked = F.when(F.array_contains("asked", F.col("unit_rel")), 2.0).otherwise(0.0) + F.when(F.coalesce(F.col("unit_year") == F.col("year"), F.lit(False)), 1.5).otherwise(0.0) + 1.0
+    scored = F.transform("edges", lambda e: F.struct(e["edge_id"].alias("edge_id"), e["rel"].alias("rel"), e["dst_id"].alias("dst_id"), (F.when(F.arrays_overlap(e["ends"], F.col("seeds")), 3.0).otherwise(0.0) + F.col("score")).alias("score")))
+    u = u.withColumn("score", asked).select("ask", (-3.0 - F.col("score")).alias("low"), "first", "size", "unit_rel", scored.alias("edges"))  # an edge of each unit touches its seed
+    return u.repartition("ask"), named.join(asks, what).select("query_id", "ask")
+
+
+def question_facts(spark, d):
+    """question_units as facts (ask, edge_id, rel, dst_id, score)."""
+    units, askers = question_units(spark, d)
+    return units.select("ask", F.explode("edges").alias("x")).select("ask", "x.*"), askers
 
 
-def question_ranked_facts(spark, d, requested):
-    """question_facts ranked and capped, given back to every question."""
-    facts, askers = question_facts(spark, d)
-    return askers.join(context.ranked_facts(facts, requested, group="ask"), "ask").drop("ask")
+def question_ranked_facts(spark, d, requested, edges=None):
+    """question_units ranked and capped, given back to every question."""
+    units, askers = question_units(spark, d, edges)
+    return askers.join(context.ranked_units(units, requested, group="ask"), "ask").drop("ask")
 
 
 @query()
@@ -213,8 +224,9 @@ def j17_resolved_citations(spark, d):
 @query()
 def w14_split_budget(spark, d):
     """Facts first up to their share of 4000 tokens, chunks in the rest; brute force in the tests."""
-    t = context.fact_texts(edges_of(spark, d), graph.entity_labels(table(spark, d, "entities"))).select(F.explode(F.split("ref_id", ",")).alias("edge_id"), X.estimate_tokens(F.col("text")).alias("tokens"))
-    primary = question_ranked_facts(spark, d, []).join(t, "edge_id").select("query_id", "rank", "tokens", F.col("edge_id").alias("ref_id"))
+    edges = cut_lineage(edges_of(spark, d))
+    t = context.fact_texts(edges, graph.entity_labels(table(spark, d, "entities"))).select(F.explode(F.split("ref_id", ",")).alias("edge_id"), X.estimate_tokens(F.col("text")).alias("tokens"))
+    primary = question_ranked_facts(spark, d, [], edges).join(t, "edge_id").select("query_id", "rank", "tokens", F.col("edge_id").alias("ref_id"))
     texts = _chunk_texts(spark, d)
     return context.split_budget(cut_lineage(primary), context.chunk_evidence(retrieval.bm25(texts, _questions(spark, d), 20), texts), 4000, 0.6)
 
